@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .mixing import OP8_SQL, op8_mixing
 from .ngram_join import op3_ngram_join
+from .token_files import op10_token_files
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
+    "op8_mixing": op8_mixing,
+    "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_mixing": OP8_SQL}
