@@ -58,6 +58,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def each_text(column: pa.Array, rows: int = 500):
+    """The UTF-8 bytes of a string column one by one, a few rows at a time, so that a batch isn't held twice."""
+    for k in range(0, len(column), rows):
+        yield from texts_of(column.slice(k, rows))
+
+
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], fn) -> DataFrame:
     """``df`` with the columns ``fields`` behind its own. ``fn()`` runs once in each task and returns a function from the
     UTF-8 texts of a batch to a list of Arrow arrays."""

@@ -271,6 +271,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Contaminated documents (two or more items) go; passages of an item are cut from the others. Columns stay."""
     name = free_name(docs, "contamination")
     found = contamination(docs, phrase_blocks(read(spark, sf_dir, "benchmark")), name).where(F.size(f"{name}.items") < MIN_ITEMS)
-    text = cut(F.col("text"), F.col(f"{name}.spans"))
-    made = {"text": text, "n_chars": F.when(F.size(f"{name}.spans") == 0, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    return found.withColumns(made).drop(name)
+    found = found.withColumn("text", cut(F.col("text"), F.col(f"{name}.spans")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(f"{name}.spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return found.drop(name)
