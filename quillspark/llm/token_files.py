@@ -19,10 +19,12 @@ the order of their texts. No documents, no files. Ids must be under 2**20.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,19 @@ class Model:
         self.a, self.b = self.b, ids
 
 
+def settled(low: np.ndarray, range_: np.ndarray, among: np.ndarray | None) -> np.ndarray:
+    """Which lanes (of ``among``) give out 16 bits: those whose top bits can't change, and those cut as their range is small."""
+    l, g = (low, range_) if among is None else (low[among], range_[among])
+    same = (l ^ (l + g - np.uint64(1))) >> TOP == 0
+    small = g < SMALL
+    small &= ~same
+    if small.any():
+        k = np.flatnonzero(small) if among is None else among[small]
+        range_[k] = (np.uint64(1) << TOP) - (low[k] & np.uint64((1 << 32) - 1))
+        same |= small
+    return np.flatnonzero(same) if among is None else among[same]
+
+
 class Coder:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, LOW48)
@@ -90,22 +105,14 @@ class Coder:
         """``on``: numbers of lanes."""
         r = self.range[on] // total
         low, range_ = self.low[on] + start * r, r * size
-        self.low[on], self.range[on] = low, range_
-        at = np.arange(len(on))
-        while True:
-            l, g = low[at], range_[at]
-            same = (l ^ (l + g - np.uint64(1))) >> TOP == 0
-            small = ~same & (g < SMALL)
-            if small.any():
-                k = at[small]
-                range_[k] = (np.uint64(1) << TOP) - (low[k] & np.uint64((1 << 32) - 1))
-            at = at[same | small]
-            if not len(at):
-                break
+        at = settled(low, range_, None)
+        while len(at):
+            l = low[at]
             self.lanes.append(on[at].astype(np.uint16))
-            self.words.append((low[at] >> TOP).astype(np.uint16))
-            low[at] = (low[at] << S16) & LOW48
+            self.words.append((l >> TOP).astype(np.uint16))
+            low[at] = (l << S16) & LOW48
             range_[at] <<= S16
+            at = settled(low, range_, at)
         self.low[on], self.range[on] = low, range_
 
     def bytes(self) -> tuple[np.ndarray, np.ndarray]:
@@ -133,23 +140,16 @@ class Decoder:
 
     def take(self, on: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low, range_ = self.low[on] + start * self.r, self.r * size
-        at = np.arange(len(on))
         code = self.code[on]
-        while True:
-            l, g = low[at], range_[at]
-            same = (l ^ (l + g - np.uint64(1))) >> TOP == 0
-            small = ~same & (g < SMALL)
-            if small.any():
-                k = at[small]
-                range_[k] = (np.uint64(1) << TOP) - (low[k] & np.uint64((1 << 32) - 1))
-            at = at[same | small]
-            if not len(at):
-                break
+        at = settled(low, range_, None)
+        while len(at):
             lane = on[at]
-            code[at] = (code[at] << S16) & LOW48 | self.words[self.at[lane]]
-            self.at[lane] += 1
+            place = self.at[lane]
+            code[at] = (code[at] << S16) & LOW48 | self.words[place]
+            self.at[lane] = place + 1
             low[at] = (low[at] << S16) & LOW48
             range_[at] <<= S16
+            at = settled(low, range_, at)
         self.low[on], self.range[on], self.code[on] = low, range_, code
 
 
@@ -220,7 +220,7 @@ class Encoder:
     * A run of characters below ``PLAIN`` is cut into pre-tokens by the tokenizer's own pattern, each for the
       library's BPE model; other runs, whose classes depend on the version of Unicode, go to the library as they are."""
 
-    PLAIN = re.compile("[\x00-\u024f]*")
+    PLAIN, MARKS = "\u0250", frozenset(".,;:!?")
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -228,30 +228,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        model, cut, plain = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall, self.PLAIN.fullmatch
-        letters = byte_letters()
+        special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        model, cut, letters = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
 
         class Pieces(dict):
             def __missing__(self, piece):
                 if len(self) >= CACHE:
                     self.clear()
-                x = self[piece] = np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+                x = self[piece] = array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
                 return x
 
         class Runs(dict):
             def __missing__(self, run):
                 if len(self) >= CACHE:
                     self.clear()
-                x = self[run] = encode(" " + run) if run and not run[0].isspace() and not run[-1].isspace() else None
+                if not run or run[0].isspace() or run[-1].isspace():
+                    x = None
+                elif run.isalpha() and max(run) < plain:
+                    x = piece(" " + run)
+                elif run[-1] in marks and run[:-1].isalpha() and max(run) < plain:
+                    x = piece(" " + run[:-1]) + piece(run[-1])
+                else:
+                    x = encode(" " + run)
+                self[run] = x
                 return x
 
-        pieces = Pieces().__getitem__
+        piece, plain, marks = Pieces().__getitem__, self.PLAIN, self.MARKS
 
         def encode(s: str) -> bytes:
-            if plain(s) and not any(x in s for x in special):
-                return b"".join(map(pieces, cut(s)))
-            return np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+            if s and max(s) < plain and not special(s):
+                return b"".join(map(piece, cut(s)))
+            return array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
         self.encode, self.runs, self.size = encode, Runs(), tokenizer.get_vocab_size()
 
@@ -269,6 +276,12 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in seen)}
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def _fs(path: str):
     from pyarrow import fs
 
@@ -282,7 +295,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
     def run(batches):
         import pyarrow.fs  # noqa: F401
 
-        encoder, end, out, buffer, held, ids, sizes = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None, [], 0, [], []
+        encoder, end, out, buffer, held, ids, sizes = _encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None, [], 0, [], []
         vocabulary = max(encoder.size, end_id + 1)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}.qtok"
