@@ -107,7 +107,7 @@ class Model:
         vectors = [self.vector(c) for _, _, c in examples]
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]  # blocks of like examples have tight bounds
         order = sorted(range(n), key=lambda i: (y[i], heaviest[i], examples[i][0]))
-        self.y, self.mass = y[order], self.mass[order]
+        self.y, self.mass = y[np.array(order, int)], self.mass[np.array(order, int)]
         self.ids = [examples[i][0] for i in order]
         vectors = [vectors[i] for i in order]
         self.index = BlockMaxIndex.build(vectors, len(chosen))
