@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon as lex
@@ -20,6 +22,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that the optimizer computes once, here: they come out of a generator, so that a filter on
+    them isn't pushed below it in the form of their expressions, nor these copied into what is built on them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def split_lines(text: Column) -> Column:
     """TX-1."""
     return F.split(text, BREAKS)
@@ -211,9 +219,6 @@ def truthy(*columns: Column) -> Column:
 
 def nfc(s: Column) -> Column:
     """TX-18: canonical composition. Spark has no function for it; best done once, where texts come in."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(x: pd.Series) -> pd.Series:
