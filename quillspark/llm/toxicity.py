@@ -15,6 +15,7 @@ the score and the evidence.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -34,14 +35,6 @@ def terms_of_word(w: bytes) -> list[bytes]:
     return [w, *(w[:n] + b"*" for n in (4, 5) if len(w) > n)]
 
 
-def term_counts(text: bytes) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(text.translate(WORD_TABLE).split()).items():
-        for t in terms_of_word(w):
-            out[t] += n
-    return out
-
-
 @dataclass
 class BlockMaxIndex:
     """``weights``: blocks x terms x examples of a block; ``largest``: terms x blocks."""
@@ -81,37 +74,34 @@ class BlockMaxIndex:
 
 
 class Model:
-    """What ``fit`` learns; ``examples`` are (doc_id, label, term counts)."""
+    """What ``fit`` learns. ``ids``, ``y``: the examples and their labels; ``rows``: numbers and counts of their terms in ``names``."""
 
-    def __init__(self, examples: list[tuple[int, int, Counter]], share: float, k: int = NEIGHBOURS):
-        self.k, n = k, len(examples)
-        y = np.array([e[1] for e in examples], float)
-        n1, n0 = int(y.sum()), n - int(y.sum())
+    def __init__(self, ids: list[int], y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], names: list[bytes], share: float, k: int = NEIGHBOURS):
+        self.k, n = k, len(ids)
+        n1 = int(y.sum())
+        n0 = n - n1
         self.trivial = None if n0 and n1 else float(n1 > 0)
         # each example stands for as many documents as its class was thinned by
         self.mass = np.where(y == 1, share / max(n1, 1), (1 - share) / max(n0, 1)) * n
-        df = [Counter(), Counter()]
-        for _, label, c in examples:
-            df[label].update(c.keys())
-        chosen = []
-        for t in df[0].keys() | df[1].keys():
-            a, b = df[1][t], df[0][t]
-            if a >= 3 and a * n0 > 2 * b * n1:
-                c, d = n1 - a, n0 - b
-                under = (a + b) * (c + d) * (a + c) * (b + d)
-                if under and (x := n * (a * d - b * c) ** 2 / under) >= CHI2_MIN:
-                    chosen.append((-x, t))
-        chosen = sorted(chosen)[:MAX_TERMS]
-        self.term = {t: i for i, (_, t) in enumerate(chosen)}
-        self.idf = np.array([math.log((1 + n) / (1 + df[0][t] + df[1][t])) + 1 for _, t in chosen], np.float32)
-        vectors = [self.vector(c) for _, _, c in examples]
+        of = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for (t, _), v in zip(rows, y, strict=True) if v == label)]), minlength=len(names))
+        a, b = of(1).astype(float), of(0).astype(float)
+        c, d = n1 - a, n0 - b
+        under = np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+        chi2 = n * (a * d - b * c) ** 2 / under
+        good = np.flatnonzero((a >= 3) & (a * n0 > 2 * b * n1) & (chi2 >= CHI2_MIN))
+        chosen = sorted((-chi2[i], names[i], i) for i in good)[:MAX_TERMS]
+        self.term = {t: k for k, (_, t, _) in enumerate(chosen)}
+        self.idf = np.array([math.log((1 + n) / (1 + a[i] + b[i])) + 1 for _, _, i in chosen], np.float32)
+        place = np.full(len(names) + 1, -1, np.int64)
+        place[[i for _, _, i in chosen]] = np.arange(len(chosen))
+        vectors = [self.weigh({int(place[t]): int(m) for t, m in zip(ts, ms, strict=True) if place[t] >= 0}) for ts, ms in ((ts[place[ts] >= 0], ms[place[ts] >= 0]) for ts, ms in rows)]
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]  # blocks of like examples have tight bounds
-        order = sorted(range(n), key=lambda i: (y[i], heaviest[i], examples[i][0]))
+        order = sorted(range(n), key=lambda i: (y[i], heaviest[i], ids[i]))
         self.y, self.mass = y[np.array(order, int)], self.mass[np.array(order, int)]
-        self.ids = [examples[i][0] for i in order]
+        self.ids = [ids[i] for i in order]
         vectors = [vectors[i] for i in order]
         self.index = BlockMaxIndex.build(vectors, len(chosen))
-        none = np.array([not len(v[0]) for v in vectors])
+        none = np.array([not len(v[0]) for v in vectors], bool)
         self.bare = float((self.mass * self.y)[none].sum() + share) / float(self.mass[none].sum() + 1)
         self.slope, self.shift = 1.0, 0.0
         if self.trivial is None:
@@ -122,9 +112,6 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"of_word": {}}
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return self.weigh({self.term[t]: n for t, n in counts.items() if t in self.term})
-
     def weigh(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.fromiter(sorted(tf), np.int64, len(tf))
         w = np.array([1 + math.log(tf[i]) for i in t], np.float32) * self.idf[t]
@@ -181,25 +168,37 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     take = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
     if not take:
-        return Model([], 0.0)
+        return Model([], np.empty(0), [], [], 0.0)
     some = spark.createDataFrame([(r["doc_id"], r["y"]) for r in take], T.StructType([known.schema["doc_id"], T.StructField("y", T.IntegerType())]))
     wanted = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * per_class rows of two numbers
 
     def count(batches):
         for b in batches:
-            cs = [term_counts(t) for t in texts_of(b.column(1))]
+            texts = texts_of(b.column(1))
+            cs = [Counter(t.translate(WORD_TABLE).split()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), b.column(2), pa.array([list(c.keys()) for c in cs], pa.list_(pa.binary())), pa.array([list(c.values()) for c in cs], pa.list_(pa.int32()))],
-                names=["doc_id", "y", "t", "n"],
-            )
-
-    rows = wanted.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y int, t array<binary>, n array<int>").collect()
-    examples = {}
-    for r in rows:
-        c = Counter(dict(zip(map(bytes, r["t"]), r["n"], strict=True)))
-        if r["doc_id"] not in examples or sorted(c.items()) < sorted(examples[r["doc_id"]][1].items()):  # repeated rows: one, always the same
-            examples[r["doc_id"]] = (r["y"], c)
-    return Model([(i, *examples[i]) for i in sorted(examples)], total.get(1, 0) / sum(total.values()))
+                [
+                    b.column(0).cast(pa.int64()), b.column(2), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+                    pa.array([list(c.keys()) for c in cs], pa.list_(pa.binary())), pa.array([list(c.values()) for c in cs], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "y", "mark", "t", "n"],
+            )
+
+    found = wanted.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y int, mark binary, t array<binary>, n array<int>").toArrow()
+    order = found.select(["doc_id", "mark"]).append_column("at", pa.array(range(len(found)))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    number: dict[bytes, int] = {}
+    ids, y, rows = [], [], []
+    for i, at in zip(order["doc_id"].to_pylist(), order["at"].to_pylist(), strict=True):
+        if ids and ids[-1] == i:
+            continue  # of rows that repeat an id one, always the same
+        tf: Counter = Counter()
+        for w, m in zip(found["t"][at].as_py(), found["n"][at].as_py(), strict=True):
+            for t in terms_of_word(w):
+                tf[number.setdefault(t, len(number))] += m
+        ids.append(i)
+        y.append(found["y"][at].as_py())
+        rows.append((np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))))
+    return Model(ids, np.array(y, float), rows, list(number), total.get(1, 0) / sum(total.values()))
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str | None = "evidence") -> DataFrame:
