@@ -7,10 +7,12 @@ tree. Two sets that are similar enough must meet in their first ``n - ceil(t * n
 1. *Order.* Each task counts n-grams over its batches and passes on those it saw in two sets or more; the
    ``COMMON`` largest sums (bounded) make the end of the order. Any order gives the same result, this one gives few candidates.
 2. *Copies.* Documents of equal sets stand behind their smallest id; from here on one of them is looked at.
-3. *Stars.* For each prefix n-gram the smallest id that holds it is paired with the others, which is a minimum and a join.
-   Verified links give first components.
+   Moreover, of the set whose prefix ends first in the order at most ``n - overlap`` n-grams are missing from the other, so
+   that similar sets share ``least_shared`` prefix n-grams, half of a prefix for large sets.
+3. *Stars.* For each prefix n-gram the set whose n-grams are met most often is paired with the others, which is a maximum
+   and a join. Pairs that meet often enough are verified; links give first components.
 4. *Rest.* Under prefix n-grams that still hold several components, pairs from different components that pass the
-   length and position bounds are verified too. Pairs inside a component need not be looked at, so that a group of near
+   length and ``least_shared`` bounds are verified too (see ``_across``). Pairs inside a component need not be looked at, so that a group of near
    copies is never expanded into pairs, and no link between components is lost.
 
 Pairs are verified by *tree traversal*: candidates of one probe (salted into parts of ``PART``) come sorted along their paths;
@@ -24,15 +26,17 @@ texts differ too, the least path stands for the id when links are verified.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, texts_of, written
+from .common import each_text, read, written
 from .components import components
 
-NGRAM, PERCENT, COMMON, PART = 3, 90, 1 << 17, 256
+NGRAM, PERCENT, COMMON, PART, FEW = 3, 90, 1 << 17, 256, 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 BLOOM = 1 << 23
@@ -47,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Grams:
     """Sets of n-gram numbers of texts. Words get their number once and are kept, up to ``room`` of them."""
 
-    def __init__(self, n: int = NGRAM, room: int = 400_000):
+    def __init__(self, n: int = NGRAM, room: int = 150_000):
         from xxhash import xxh3_64_intdigest
 
         class Numbers(dict):
@@ -100,6 +104,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def least_shared(n: "F.Column", m: "F.Column", percent: int) -> "F.Column":
+    """Prefix n-grams that sets of n and m have in common if they are similar enough."""
+    ceil = lambda x, y: F.floor((x + (y - 1)) / F.lit(y)).cast("long")
+    both, prefix = ceil(F.lit(percent) * (n + m), 100 + percent), lambda x: x - ceil(F.lit(percent) * x, 100) + 1
+    return F.greatest(F.lit(1), F.least(prefix(n) - (n - both), prefix(m) - (m - both)))
+
+
 def walk(probe: np.ndarray, paths: list[np.ndarray], order: Order, percent: int, step: int = 64) -> list[bool]:
     """Which of ``paths`` (sorted along the tree) overlap enough with the set ``probe`` (ascending numbers).
 
@@ -151,10 +162,10 @@ def _order_of(docs: DataFrame, n: int) -> "np.ndarray":
 
         parts, size = [], 0
         for b in batches:
-            for t in texts_of(b.column(at)):
+            for t in each_text(b.column(at)):
                 parts.append(grams.set(t))
                 size += len(parts[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush(parts)
                     parts, size = [], 0
         if parts:
@@ -183,7 +194,7 @@ def _links(pairs: DataFrame, docs: DataFrame, order, n: int, percent: int) -> Da
             keep = np.flatnonzero((w[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
             if len(keep):
                 b = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([order.value.path(grams.set(t)).astype(">u8").tobytes() for t in texts_of(b.column(1))], pa.binary())], names=["id", "path"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([order.value.path(grams.set(t)).astype(">u8").tobytes() for t in each_text(b.column(1))], pa.binary())], names=["id", "path"])
 
     sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").withColumn("slot", slot).mapInArrow(cut, "id long, path binary")
     sets = written(sets.groupBy("id").agg(F.min("path").alias("path")), "paths")
@@ -221,6 +232,44 @@ def _links(pairs: DataFrame, docs: DataFrame, order, n: int, percent: int) -> Da
     return written(dealt.select("id", "a", "part", "probe", "path").mapInArrow(verify, "a long, b long"), "verified")
 
 
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of different components that may be similar, from rows (g, id, n, k, rank, root).
+
+    Similar sets share at least L prefix n-grams, so the rarest of these has L - 1 more frequent ones beside it in either
+    prefix: sets need only meet under n-grams that are not among the L - 1 most frequent of either. Near copies have
+    nearly equal sizes and large L, so that what a whole group shares brings none of its pairs together.
+
+    Under an n-gram of at most ``FEW`` sets this is asked of each pair. More sets are first told apart by size: sizes fall
+    into bands, each 2 % wide, and for bands i and i + d the least L leaves each set under few n-grams only."""
+    close = F.lit(100) * F.least("n_a", "n") >= F.lit(percent) * F.greatest("n_a", "n")
+    other = (F.col("root_a") != F.col("root")) & close
+    pair = lambda met: met.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b"))
+    few = rows.where(F.col("k") <= FEW)
+    bound = least_shared(F.col("n_a"), F.col("n"), percent)
+    plain = few.select("g", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "root", "rank"))).join(few.select("g", "id", "n", "root", "rank"), "g")
+    plain = pair(plain.where(other & (F.col("id_a") < F.col("id")) & (F.col("rank") >= bound) & (F.col("rank_a") >= bound)))
+    rows = rows.where(F.col("k") > FEW)
+    width = 1.02
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(width)) + 1e-9).cast("long"))
+    most = int(math.log(100 / percent) / math.log(width)) + 2
+    top = lambda band: F.floor(F.pow(F.lit(width), band + 1) + 1e-6).cast("long") + 1
+    bottom = lambda band: F.greatest(F.floor(F.pow(F.lit(width), band) - 1e-6).cast("long"), F.lit(1).cast("long"))
+    gap = F.explode(F.sequence(F.lit(0), F.lit(most)).cast("array<bigint>"))
+    # rounding lets the bound for the farthest size of a band exceed that for a nearer one, by less than 2
+    least = lambda x, y: F.greatest(least_shared(x, y, percent) - 2, F.lit(1))
+    far, near = least(F.col("n"), top(F.col("band"))), least(bottom(F.col("band")), F.col("n"))
+    small = rows.withColumn("d", gap)
+    small = small.where(F.col("rank") >= F.when(F.col("d") == 0, F.least(far, near)).otherwise(least(F.col("n"), top(F.col("band") + F.col("d")))))
+    large = rows.withColumn("d", gap)
+    large = large.where(F.col("rank") >= F.when(F.col("d") == 0, F.least(far, near)).otherwise(least(bottom(F.col("band") - F.col("d")), F.col("n"))))
+    large = large.withColumn("band", F.col("band") - F.col("d"))
+    key = ["g", "band", "d"]
+    left = small.select(*key, F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    met = left.join(large.select(*key, "id", "n", "root"), key)
+    met = met.where(other & ((F.col("d") > 0) | (F.col("id_a") < F.col("id"))))
+    return plain.union(pair(met)).distinct()
+
+
 def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -233,7 +282,7 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame
         grams = Grams(n)
         for b in batches:
             size, mark, prefix = [], [], []
-            for t in texts_of(b.column(1)):
+            for t in each_text(b.column(1)):
                 s = grams.set(t)
                 size.append(len(s))
                 mark.append(xxh3_128_digest(s.tobytes()))
@@ -244,24 +293,31 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame
     firsts = signed.where("doc_id is not null and n > 0").groupBy("mark").agg(F.min("doc_id").alias("first"))
     copies = signed.select("doc_id", "n", "mark").join(firsts, "mark", "left")
     alone = signed.join(firsts.select("mark", F.col("first").alias("doc_id")), ["mark", "doc_id"], "left_semi")
-    # one row for each prefix n-gram of each distinct set; n-grams that only one set has find no partner
-    posts = alone.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "g"))
-    shared = posts.groupBy("g").agg(F.min("id").alias("a"), F.count("*").alias("k")).where("k > 1")
-    met = written(posts.join(shared, "g"), "met")
+    # one row for each prefix n-gram of each distinct set, dealt once; n-grams that only one set has find no partner
+    posts = alone.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("g")).repartition("g")
+    shared = posts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
+    met = written(posts.join(shared, "g").select("id", "g", "k"), "met")
     fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    sizes = alone.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"))
-    stars = met.where("id <> a").select("a", F.col("id").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("n"), F.col("n_a")))
-    stars = written(stars.select("a", "b"), "stars")
+    # the set whose n-grams are met most often is the one that most near copies come from
+    sizes = alone.select(F.col("doc_id").alias("id"), "n").join(met.groupBy("id").agg(F.sum("k").alias("weight")), "id")
+    placed = written(met.join(sizes, "id"), "placed")
+    centre = placed.groupBy("g").agg(F.max(F.struct("weight", (-F.col("id")).alias("a"), F.col("n").alias("n_a"))).alias("c"))
+    stars = placed.join(centre.select("g", (-F.col("c.a")).alias("a"), F.col("c.n_a").alias("n_a")), "g").where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("n_a")))
+    stars = stars.groupBy("a", F.col("id").alias("b"), "n", "n_a").agg(F.count("*").alias("k"))
+    # another set may stand before a under some of the n-grams; the rest finds what this misses
+    stars = written(stars.where(F.col("k") * 2 >= least_shared(F.col("n"), F.col("n_a"), percent)).select("a", "b"), "stars")
     links = _links(stars, docs, order, n, percent)
     roots = written(components(links), "roots")
-    in_group = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")).select("g", "id", "n", "pos", "root")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "g"))  # 1: met most often
+    in_group = placed.withColumn("rank", rank).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    in_group = written(in_group.select("g", "id", "n", "k", "rank", "root"), "in-group")
     mixed = in_group.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    rest = in_group.join(mixed, "g")
-    # the tokens from the meeting point on bound the overlap: 1 + what both have left
-    left, right = rest.select("g", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "root"))), rest
-    bound = F.lit(1) + F.least(F.col("n_a") - F.col("pos_a"), F.col("n") - F.col("pos")) - 1
-    pairs = left.join(right, "g").where((F.col("id_a") < F.col("id")) & (F.col("root_a") != F.col("root")) & fits(F.col("n_a"), F.col("n")) & (bound * (100 + percent) >= percent * (F.col("n_a") + F.col("n"))))
-    pairs = written(pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
+    pairs = _across(in_group.join(mixed, "g"), percent)
+    prefixes = written(alone.select(F.col("doc_id").alias("id"), "n", "prefix").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "prefixes")
+    side = lambda c: prefixes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least_shared(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "rest")
     more = _links(pairs, docs, order, n, percent) if not pairs.isEmpty() else None
     roots = components(links.union(more)) if more is not None else roots
     of_copy = copies.join(roots.withColumnRenamed("node", "first"), "first", "left")
