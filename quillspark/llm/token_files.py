@@ -213,7 +213,7 @@ def decode_block(read) -> np.ndarray:
 
 
 class Encoder:
-    """Byte-level BPE of the tokenizers library. What it gave for a run of text is kept (``CACHE`` of them), in two steps:
+    """Byte-level BPE of the tokenizers library. What it gave for a run of text is kept (twice ``CACHE`` of them), in two steps:
 
     * Pre-tokens never cross from a non-space into a space, so a text may be cut before a space that stands alone between
       two other characters. A text with other white space beside a space is encoded whole.
@@ -231,36 +231,40 @@ class Encoder:
         special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
         model, cut, letters = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
 
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if len(self) >= CACHE:
-                    self.clear()
-                x = self[piece] = array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
-                return x
+        class Kept(dict):
+            """Answers of two generations: what is asked for again moves to the young one, what isn't goes with the old."""
 
-        class Runs(dict):
-            def __missing__(self, run):
+            def __init__(self, make):
+                self.make, self.old = make, {}
+
+            def __missing__(self, key):
                 if len(self) >= CACHE:
+                    self.old = dict(self)
                     self.clear()
-                if not run or run[0].isspace() or run[-1].isspace():
-                    x = None
-                elif run.isalpha() and max(run) < plain:
-                    x = piece(" " + run)
-                elif run[-1] in marks and run[:-1].isalpha() and max(run) < plain:
-                    x = piece(" " + run[:-1]) + piece(run[-1])
-                else:
-                    x = encode(" " + run)
-                self[run] = x
+                x = self.old.get(key, self)
+                x = self[key] = self.make(key) if x is self else x
                 return x
 
-        piece, plain, marks = Pieces().__getitem__, self.PLAIN, self.MARKS
+        def of_piece(piece: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        def of_run(run: str) -> bytes | None:
+            if not run or run[0].isspace() or run[-1].isspace():
+                return None
+            if run.isalpha() and max(run) < plain:
+                return piece(" " + run)
+            if run[-1] in marks and run[:-1].isalpha() and max(run) < plain:
+                return piece(" " + run[:-1]) + piece(run[-1])
+            return encode(" " + run)
+
+        piece, plain, marks = Kept(of_piece).__getitem__, self.PLAIN, self.MARKS
 
         def encode(s: str) -> bytes:
             if s and max(s) < plain and not special(s):
                 return b"".join(map(piece, cut(s)))
             return array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
-        self.encode, self.runs, self.size = encode, Runs(), tokenizer.get_vocab_size()
+        self.encode, self.runs, self.size = encode, Kept(of_run), tokenizer.get_vocab_size()
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
