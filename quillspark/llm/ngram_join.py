@@ -37,6 +37,8 @@ from .common import each_text, read, written
 from .components import components
 
 NGRAM, PERCENT, COMMON, PART, FEW = 3, 90, 1 << 17, 256, 64
+#: What makes near copies in the pipeline; ``NGRAM`` and ``PERCENT`` are those of op3.
+STAGE_NGRAM, STAGE_PERCENT = 5, 80
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 BLOOM = 1 << 23
@@ -331,7 +333,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id (rows that repeat it stay too); documents without an id or
-    words stay. Columns stay."""
-    found = groups(docs).where("n_shingles > 0 and doc_id <> component_id")
+    """One document of each group of near copies (five-word sets of a similarity of 0.8 or more) stays, that of the smallest
+    id (rows that repeat it stay too); documents without an id or words stay. Columns stay."""
+    found = groups(docs, STAGE_NGRAM, STAGE_PERCENT).where("n_shingles > 0 and doc_id <> component_id")
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
