@@ -130,8 +130,7 @@ def ex_issuer_line(spark, sf_dir):
 
 @query()
 def tx_sentence_case(spark, sf_dir):
-    lines = tx.split_lines(F.col("text"))
-    return _documents(spark, sf_dir).select("doc_id", tx.sentence_case(tx.merged(F.slice(lines, 1, 3))).alias("summary"))
+    return _documents(spark, sf_dir).select("doc_id", tx.sentence_case(tx.merged(tx.split_lines(F.col("text")))).alias("summary"))
 
 
 def _field(expression):
