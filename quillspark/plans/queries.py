@@ -326,8 +326,7 @@ def ro_ordered_collect(spark, sf_dir):
 @query()
 def ro_similar_topk(spark, sf_dir):
     reference = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.col("item_id").alias("id"), F.col("text").alias("summary"))
-    heads = _documents(spark, sf_dir).select("doc_id", tx.merged(F.slice(tx.split_lines(F.col("text")), 1, 1)).alias("subject"))
-    return similar(heads, reference, "doc_id", "subject")
+    return similar(_documents(spark, sf_dir), reference, "doc_id", "text")
 
 
 @query("SELECT doc_id, to_json(struct_pack(pages := p)) AS json, array_to_string(p, chr(10) || chr(10) || '--- PAGE SPLIT ---' || chr(10) || chr(10)) AS txt FROM (SELECT doc_id, string_split(name || chr(10) || agency, chr(10)) AS p FROM (" + PARTS + "))")
