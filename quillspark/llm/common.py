@@ -26,9 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset (tests) an own one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset and all is one
+    process (``local[...]``, as in tests) an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -43,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``written`` has made, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def checked(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df``, of a few short columns, for a join: to be broadcast if it is known to have no more than ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has, in any case."""
     taken, name = {c.lower() for c in df.columns}, stem

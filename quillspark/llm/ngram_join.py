@@ -1,27 +1,29 @@
-"""Similarity join of documents on n-gram sets by a prefix tree, and the groups its links form.
+"""Similarity join of documents on n-gram sets by prefix trees, and the groups its links form.
 
 A document's set holds 64-bit numbers of its distinct word n-grams. All sets are sorted in one global order: rare n-grams
-first, by number; then the n-grams that many documents share, by frequency. Sorted sets are paths from the root of a prefix
-tree. Two sets that are similar enough must meet in their first ``n - ceil(t * n) + 1`` n-grams, so:
-
-1. *Order.* Each task counts n-grams over its batches and passes on those it saw in two sets or more; the
-   ``COMMON`` largest sums (bounded) make the end of the order. Any order gives the same result, this one gives few candidates.
-2. *Copies.* Documents of equal sets stand behind their smallest id; from here on one of them is looked at.
-   Moreover, of the set whose prefix ends first in the order at most ``n - overlap`` n-grams are missing from the other, so
-   that similar sets share ``least_shared`` prefix n-grams, half of a prefix for large sets.
-3. *Stars.* For each prefix n-gram the set whose n-grams are met most often is paired with the others, which is a maximum
-   and a join. Pairs that meet often enough are verified; links give first components.
-4. *Rest.* Under prefix n-grams that still hold several components, pairs from different components that pass the
-   length and ``least_shared`` bounds are verified too (see ``_across``). Pairs inside a component need not be looked at, so that a group of near
-   copies is never expanded into pairs, and no link between components is lost.
-
-Pairs are verified by *tree traversal*: candidates of one probe (salted into parts of ``PART``) come sorted along their paths;
-one walk over the tree shares the overlap of a common beginning among all that have it, and a subtree is left as soon as
-the overlap so far and the shorter rest can't reach the bound.
+first, by number; then the ``COMMON`` n-grams that most documents share, by frequency. Any order gives the same
+result, this one gives few candidates. Documents of equal sets are one *node*, looked at once.
+
+1. *Meetings.* Two sets that are similar enough share ``least_shared`` of their first ``n - ceil(t * n) + 1`` n-grams (half of
+   these for large sets of like sizes), so that the rarest n-gram they share there has ``least_shared - 1`` more frequent
+   ones beside it in either. Nodes need only meet under n-grams that far down. What meets in this way, chained through, is a
+   *block*: nodes of different blocks have no link. Under an n-gram chains are handed on, a link for each node, never pairs;
+   under one of more than ``MANY`` nodes that is done by bands of sizes with DataFrame operations, so that no task gets them all.
+2. *Trees.* The sets of a block come together once, in one task, and are stored as paths in a compressed prefix tree
+   (``joined``). One walk takes all probes down the tree, shares the overlap of a common beginning among all paths below it,
+   and leaves a subtree with each probe whose overlap so far and shorter rest can't reach the bound, or that is already
+   linked with all below. What leaves the task is one link for each node at most.
+3. *Large blocks*, of more than ``PART`` sets or ``ROOM`` n-grams, are divided first. Each set becomes its difference from
+   the block's centre, the n-grams that most of its sets hold; distances between sets stay the same by that, but what a
+   group of near copies has in common is gone. Sets near enough are linked to the one nearest to the centre; any other set can
+   only be similar to sets whose differences meet its own (``least_met``), which makes parts as in step 1. Where chains
+   leave more than half of the block in one part, it is dealt by the n-grams of the differences, each of which less than
+   half of the sets hold: a level down in a tree of n-grams. This goes on until all parts are small, which takes
+   a number of levels that is the logarithm of the block's size; no link is lost and no pairs are made.
 
 Null texts and texts without words have an empty set and link with nothing. A shorter text is one n-gram. Rows with
-a null id are left out of groups (``component_id`` null). Rows that repeat an id: each has its own set size; where their
-texts differ too, the least path stands for the id when links are verified.
+a null id take the group of equal sets, else null, and link nothing themselves. Rows that repeat an id are rows each;
+where their texts differ, the id joins both groups. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -29,19 +31,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import each_text, read, written
+from .common import checked, discard, each_text, read, written
 from .components import components
 
-NGRAM, PERCENT, COMMON, PART, FEW = 3, 90, 1 << 17, 256, 64
+NGRAM, PERCENT, COMMON = 3, 90, 1 << 17
+MANY, PART, ROOM, FEW, CELLS, WIDTH = 4096, 512, 2_000_000, 8, 8_000_000, 1.02
 #: What makes near copies in the pipeline; ``NGRAM`` and ``PERCENT`` are those of op3.
 STAGE_NGRAM, STAGE_PERCENT = 5, 80
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-BLOOM = 1 << 23
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +67,7 @@ class Grams:
                 x = self[w] = xxh3_64_intdigest(w)
                 return x
 
-        self.n, self.of = n, Numbers()
+        self.n, self.of, self.digest = n, Numbers(), xxh3_64_intdigest
 
     def set(self, text: bytes) -> np.ndarray:
         """Distinct, ascending; empty without words."""
@@ -78,6 +82,11 @@ class Grams:
         out.sort()
         return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) > 1 else out
 
+    def node(self, grams: np.ndarray) -> int:
+        """A signed 64-bit number of a set."""
+        x = self.digest(grams.tobytes())
+        return x - (1 << 64) if x >> 63 else x
+
 
 class Order:
     """The global order: n-grams by number, behind them the common ones by rising frequency."""
@@ -97,56 +106,104 @@ class Order:
         return np.concatenate([grams[~hit], grams[hit][np.argsort(rank, kind="stable")]])
 
 
-def needed(n: int, m: int, percent: int) -> int:
-    """Least overlap o of sets of n and m with 100 * o >= percent * (n + m - o)."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def least_shared(n: "F.Column", m: "F.Column", percent: int) -> "F.Column":
-    """Prefix n-grams that sets of n and m have in common if they are similar enough."""
-    ceil = lambda x, y: F.floor((x + (y - 1)) / F.lit(y)).cast("long")
-    both, prefix = ceil(F.lit(percent) * (n + m), 100 + percent), lambda x: x - ceil(F.lit(percent) * x, 100) + 1
-    return F.greatest(F.lit(1), F.least(prefix(n) - (n - both), prefix(m) - (m - both)))
-
-
-def walk(probe: np.ndarray, paths: list[np.ndarray], order: Order, percent: int, step: int = 64) -> list[bool]:
-    """Which of ``paths`` (sorted along the tree) overlap enough with the set ``probe`` (ascending numbers).
-
-    ``overlap[d]`` belongs to the current path at depth d * step; a following path goes on from where it parts from it."""
-    out, last, overlap = [], None, [0]
-    dead_depth = None  # the subtree below this depth of the last path can't reach the bound for its length
-    dead_len = 0
-    for p in paths:
-        n = len(p)
-        need, shared = needed(n, len(probe), percent), 0
-        if last is not None:
-            k = min(n, len(last))
-            differ = np.flatnonzero(p[:k] != last[:k])
-            shared = int(differ[0]) if len(differ) else k
-        if dead_depth is not None and shared >= dead_depth and n == dead_len:
-            out.append(False)
-            last = p
-            continue
-        dead_depth = None
-        overlap = overlap[: shared // step + 1]
-        found, d = overlap[-1], (len(overlap) - 1) * step
-        while d < n:
-            part = p[d : d + step]
-            at = np.minimum(np.searchsorted(probe, part), len(probe) - 1)
-            found += int(np.count_nonzero(probe[at] == part))
-            d += len(part)
-            if len(part) == step:
-                overlap.append(found)
-            if found + min(n - d, len(probe) - found) < need:
-                break
-        if d < n and found + min(n - d, len(probe) - found) < need:
-            dead_depth, dead_len = d, n
-        out.append(d >= n and found >= need)
-        last = p
+def least_shared(n, m, percent: int, floor=lambda x, y: x // y, both=np.minimum, one=np.maximum):
+    """Prefix n-grams that sets of n and m have in common if they are similar enough; on arrays, or on columns with their functions."""
+    ceil = lambda x, y: floor(x + (y - 1), y)
+    need = ceil((n + m) * percent, 100 + percent)
+    return one(both(need - ceil(n * percent, 100), need - ceil(m * percent, 100)) + 1, 1)
+
+
+def _least_shared(n: "F.Column", m: "F.Column", percent: int) -> "F.Column":
+    div = lambda x, y: F.floor(x / F.lit(y)).cast("long")
+    return least_shared(n, m, percent, div, F.least, lambda x, y: F.greatest(x, F.lit(y)))
+
+
+def least_met(apart: np.ndarray, a: np.ndarray, least: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """How many n-grams the difference (of size d) of a set of n from a centre must share with another one if their sets are
+    similar and not both close to the block's nearest set. ``apart``: the set itself isn't; ``a``: as in ``joined``; ``least``:
+    that of the nearest set.
+
+    Similar sets share (a_x + a_y) / (2 q) with q = 100 + percent. If x is apart, a_y >= least; if x is close, y isn't, so that
+    a_y > -least. And x and y differ in (100 - percent) / percent n at most, so that the rest of d is shared."""
+    q = 2 * (100 + percent)
+    bound = np.where(apart, -(-(a + least) // q), (a - least) // q + 1)
+    return np.maximum(np.maximum(bound, d - (100 - percent) * n // percent), 1)
+
+
+def joined(sizes: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one (by number) that links reach.
+
+    ``sets`` are sets, or their differences from one hub (``sizes``: of the sets themselves): x and y link if
+    2 (100 + percent) |x & y| >= a_x + a_y with a = (100 + percent) |set| - (100 - percent) size."""
+    m = len(sets)
+    lengths = np.array([len(s) for s in sets], np.int64)
+    a, twice = (100 + percent) * lengths - (100 - percent) * np.asarray(sizes, np.int64), 2 * (100 + percent)
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    _, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    # n-grams of one set alone are only a length; the others in order, those of most sets first
+    rank = np.full(len(counts), -1, np.int64)
+    shared = np.flatnonzero(counts > 1)
+    rank[shared[np.argsort(-counts[shared], kind="stable")]] = np.arange(len(shared))
+    ends = np.cumsum(lengths)
+    paths = []
+    for lo, hi in zip(ends - lengths, ends, strict=True):
+        p = rank[which[lo:hi]]
+        paths.append(np.sort(p[p >= 0]))
+    order = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
+    paths, a = [paths[i] for i in order], a[order]
+    size = np.array([len(p) for p in paths], np.int64)
+    common = np.zeros(m, np.int64)  # with the path before
+    for i in range(1, m):
+        k = min(size[i], size[i - 1])
+        differ = np.flatnonzero(paths[i][:k] != paths[i - 1][:k])
+        common[i] = differ[0] if len(differ) else k
+    root, width = np.arange(m), max(1, len(shared))
+    step = max(1, CELLS // width)
+    for first in range(0, m, step):
+        probes = range(first, min(m, first + step))
+        has = np.zeros((len(probes), width), bool)
+        for k, i in enumerate(probes):
+            has[k, paths[i]] = True
+        seen = np.cumsum(has, axis=1, dtype=np.int32)
+        # a node of the tree: paths lo to hi - 1 share their first n-grams; probes come down with their overlap
+        stack = [(0, m, 0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
+        while stack:
+            lo, hi, start, on, overlap = stack.pop()
+            end = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(size[lo])
+            below = root[lo:hi]
+            keep = on + first < hi - 1  # a pair is looked at from its earlier path
+            if below[0] == below[-1] and (below == below[0]).all():
+                keep &= root[on + first] != below[0]
+            on, overlap = on[keep], overlap[keep]
+            if not len(on):
+                continue
+            if end > start:
+                edge = paths[lo][start:end]
+                overlap = overlap + has[np.ix_(on, edge)].sum(1)
+                rest = size[on + first] - seen[on, edge[-1]]
+            else:
+                rest = size[on + first] - (seen[on, paths[lo][end - 1]] if end else 0)
+            rest = np.minimum(rest, int(size[lo:hi].max()) - end)
+            keep = twice * (overlap + rest) >= a[on + first] + int(a[lo:hi].min())
+            on, overlap = on[keep], overlap[keep]
+            if not len(on):
+                continue
+            if hi - lo == 1:
+                met = np.unique(np.append(root[on + first], root[lo]))
+                if len(met) > 1:
+                    root[np.isin(root, met)] = met[0]
+                continue
+            cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
+            stack += [(x, y, end, on, overlap) for x, y in zip(cuts, cuts[1:], strict=False)]
+    out = np.zeros(m, np.int64)
+    at = np.array(order, np.int64)
+    least = np.full(m, m, np.int64)
+    np.minimum.at(least, root, at)
+    out[at] = least[root]
     return out
 
 
@@ -178,154 +235,234 @@ def _order_of(docs: DataFrame, n: int) -> "np.ndarray":
     return rows["g"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def _links(pairs: DataFrame, docs: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b), a the probe, whose sets are similar enough."""
-    spark = docs.sparkSession
-    # a bit for each wanted id, modulo BLOOM: keeps most other texts from being cut into n-grams and moved
-    slot = F.pmod(F.xxhash64("id"), F.lit(BLOOM))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    bits = np.zeros(BLOOM // 64, np.int64)
-    for r in ids.select((F.floor(slot / 64)).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BLOOM}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
-        bits[r["w"]] = r["m"]
-    shared = spark.sparkContext.broadcast(bits)  # 1 MB always
-
-    def cut(batches):
-        grams, w = Grams(n), shared.value.view(np.uint64)
+def _ranked(met: DataFrame, key: list[str]) -> DataFrame:
+    """With ``rank`` of an n-gram among those of the same ``key``: 1 is met most often."""
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("k"), "g")))
+
+
+def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
+    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, k, rank)."""
+
+    def chain(batches):
+        def pairs(g, node, n, rank):
+            """Of whole groups, sorted by g and n."""
+            out_a, out_b = [], []
+            starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            sizes = np.diff(np.append(starts, len(g)))
+            few = np.repeat(sizes <= FEW, sizes)
+            fits = lambda i, j: (100 * n[i] >= percent * n[j]) & (np.minimum(rank[i], rank[j]) >= least_shared(n[i], n[j], percent))
+            for d in range(1, min(FEW, len(g))):
+                i = np.flatnonzero(few[:-d] & (g[:-d] == g[d:]))
+                i = i[fits(i, i + d)]
+                out_a.append(node[i])
+                out_b.append(node[i + d])
+            for lo, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+                root = np.arange(size)
+                for i in range(size - 1):
+                    j = np.arange(i + 1, lo + size - lo)
+                    j = j[: np.searchsorted(n[lo + i + 1 : lo + size], 100 * n[lo + i] // percent, side="right")]
+                    j = j[root[j] != root[i]]
+                    j = j[fits(lo + i, lo + j)] if len(j) else j
+                    if len(j):
+                        touched = np.unique(np.append(root[j], root[i]))
+                        root[np.isin(root, touched)] = touched[0]
+                own = np.flatnonzero(root != np.arange(size))
+                out_a.append(node[lo + root[own]])
+                out_b.append(node[lo + own])
+            both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.empty((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        held = [np.empty(0, np.int64)] * 4
         for b in batches:
-            s = b.column(2).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero((w[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
-            if len(keep):
-                b = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([order.value.path(grams.set(t)).astype(">u8").tobytes() for t in each_text(b.column(1))], pa.binary())], names=["id", "path"])
-
-    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").withColumn("slot", slot).mapInArrow(cut, "id long, path binary")
-    sets = written(sets.groupBy("id").agg(F.min("path").alias("path")), "paths")
-    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")), "a")
-    members = sized.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    probes = sized.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).distinct()
-    rows = members.withColumn("probe", F.lit(1)).union(probes.withColumn("probe", F.lit(0))).join(sets, "id")
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "probe", "path", "id")
-
-    def verify(batches):
-        key, probe, ids, paths = None, None, [], []
-
-        def close():
-            hits = walk(np.sort(probe), paths, order.value, percent) if len(ids) else []
-            return [(key[0], i) for i, h in zip(ids, hits, strict=True) if h]
+            held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # where the group begins that may go on
+            if last > 100_000 or (last and len(held[0]) - last > many):
+                yield pairs(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield pairs(*held)
+
+    some = met.where(F.col("k") <= many).select("g", "node", "n", F.col("rank").cast("long").alias("rank"))
+    plain = some.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(chain, "a long, b long")
+
+    # for sizes of bands i and i + d, each ``WIDTH`` wide, the least that must be shared leaves each node under few n-grams
+    rows = met.where(F.col("k") > many).withColumn("band", F.floor(F.log("n") / F.log(F.lit(WIDTH)) + 1e-9).cast("long"))
+    most = int(math.log(100 / percent) / math.log(WIDTH)) + 2
+    top = lambda band: F.floor(F.pow(F.lit(WIDTH), band + 1) + 1e-6).cast("long") + 1
+    bottom = lambda band: F.greatest(F.floor(F.pow(F.lit(WIDTH), band) - 1e-6).cast("long"), F.lit(1).cast("long"))
+    # rounding lets the bound for the farthest size of a band exceed that for a nearer one, by less than 2
+    least = lambda x, y: F.greatest(_least_shared(x, y, percent) - 2, F.lit(1))
+    n, d = F.col("n"), F.col("d")
+    same = F.least(least(n, top(F.col("band"))), least(bottom(F.col("band")), n))
+    dealt = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(most)).cast("array<bigint>")))
+    small = dealt.where(F.col("rank") >= F.when(d == 0, same).otherwise(least(n, top(F.col("band") + d)))).select("g", "band", "d", "node", F.lit(0).alias("side"))
+    large = dealt.where((d > 0) & (F.col("rank") >= least(bottom(F.col("band") - d), n))).select("g", (F.col("band") - d).alias("band"), "d", "node", F.lit(1).alias("side"))
+    key = ["g", "band", "d"]
+    sides = small.union(large)
+    first = sides.groupBy(*key).agg(F.min("node").alias("a"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("d = 0 or lo < hi")
+    hot = sides.join(first.select(*key, "a"), key).select("a", F.col("node").alias("b"))
+    return plain.union(hot).where("a <> b").distinct()
+
+
+GRAMS = T.ArrayType(T.LongType())
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as unsigned numbers."""
+    values, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return [values[x:y] for x, y in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)]
+
+
+def _array(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
+
+
+def _trees(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join what is similar in each block of rows (block, node, n, grams); blocks are small."""
+
+    def walk(batches):
+        held: list[tuple[int, int, np.ndarray]] = []
+        block = None
+
+        def links():
+            if len(held) < 2:
+                return []
+            root = joined(np.array([n for _, n, _ in held]), [s for _, _, s in held], percent)
+            return [(held[r][0], held[i][0]) for i, r in enumerate(root.tolist()) if r != i]
 
         for b in batches:
             out = []
-            for i, a, part, kind, path in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if (a, part) != key:
-                    if key is not None:
-                        out += close()
-                    key, probe, ids, paths = (a, part), np.empty(0, np.uint64), [], []
-                x = np.frombuffer(path, ">u8").astype(np.uint64)
-                if kind == 0:
-                    probe = x
-                else:
-                    ids.append(i)
-                    paths.append(x)
+            for x, node, n, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _lists(b.column(3)), strict=True):
+                if x != block:
+                    out += links()
+                    block, held = x, []
+                if not held or held[-1][0] != node:
+                    held.append((node, n, grams.copy()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        if key is not None and (out := close()):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-    return written(dealt.select("id", "a", "part", "probe", "path").mapInArrow(verify, "a long, b long"), "verified")
-
-
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of different components that may be similar, from rows (g, id, n, k, rank, root).
-
-    Similar sets share at least L prefix n-grams, so the rarest of these has L - 1 more frequent ones beside it in either
-    prefix: sets need only meet under n-grams that are not among the L - 1 most frequent of either. Near copies have
-    nearly equal sizes and large L, so that what a whole group shares brings none of its pairs together.
-
-    Under an n-gram of at most ``FEW`` sets this is asked of each pair. More sets are first told apart by size: sizes fall
-    into bands, each 2 % wide, and for bands i and i + d the least L leaves each set under few n-grams only."""
-    close = F.lit(100) * F.least("n_a", "n") >= F.lit(percent) * F.greatest("n_a", "n")
-    other = (F.col("root_a") != F.col("root")) & close
-    pair = lambda met: met.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b"))
-    few = rows.where(F.col("k") <= FEW)
-    bound = least_shared(F.col("n_a"), F.col("n"), percent)
-    plain = few.select("g", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "root", "rank"))).join(few.select("g", "id", "n", "root", "rank"), "g")
-    plain = pair(plain.where(other & (F.col("id_a") < F.col("id")) & (F.col("rank") >= bound) & (F.col("rank_a") >= bound)))
-    rows = rows.where(F.col("k") > FEW)
-    width = 1.02
-    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(width)) + 1e-9).cast("long"))
-    most = int(math.log(100 / percent) / math.log(width)) + 2
-    top = lambda band: F.floor(F.pow(F.lit(width), band + 1) + 1e-6).cast("long") + 1
-    bottom = lambda band: F.greatest(F.floor(F.pow(F.lit(width), band) - 1e-6).cast("long"), F.lit(1).cast("long"))
-    gap = F.explode(F.sequence(F.lit(0), F.lit(most)).cast("array<bigint>"))
-    # rounding lets the bound for the farthest size of a band exceed that for a nearer one, by less than 2
-    least = lambda x, y: F.greatest(least_shared(x, y, percent) - 2, F.lit(1))
-    far, near = least(F.col("n"), top(F.col("band"))), least(bottom(F.col("band")), F.col("n"))
-    small = rows.withColumn("d", gap)
-    small = small.where(F.col("rank") >= F.when(F.col("d") == 0, F.least(far, near)).otherwise(least(F.col("n"), top(F.col("band") + F.col("d")))))
-    large = rows.withColumn("d", gap)
-    large = large.where(F.col("rank") >= F.when(F.col("d") == 0, F.least(far, near)).otherwise(least(bottom(F.col("band") - F.col("d")), F.col("n"))))
-    large = large.withColumn("band", F.col("band") - F.col("d"))
-    key = ["g", "band", "d"]
-    left = small.select(*key, F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    met = left.join(large.select(*key, "id", "n", "root"), key)
-    met = met.where(other & ((F.col("d") > 0) | (F.col("id_a") < F.col("id"))))
-    return plain.union(pair(met)).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        if out := links():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return rows.select("block", "node", "n", "grams").repartition("block").sortWithinPartitions("block", "node").mapInArrow(walk, "a long, b long")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n_grams").alias("room"))
 
 
-def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def _divided(rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to the nearest set of each (large) block of rows (block, node, n, grams), and the rows of its parts, each of
+    half its size at most. ``sizes``: (block, sets)."""
+    most = rows.select("block", F.explode("grams").alias("g")).groupBy("block", "g").agg(F.count("*").alias("k")).join(sizes.select("block", "sets"), "block")
+    centre = most.where("2 * k > sets").groupBy("block").agg(F.sort_array(F.collect_list("g")).alias("centre"))
+
+    def differ(batches):
+        for b in batches:
+            n = b.column(2).to_numpy()
+            diff = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(_lists(b.column(3)), _lists(b.column(4)), strict=True)]
+            a = (100 + percent) * np.array([len(x) for x in diff], np.int64) - (100 - percent) * n
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(a), _array(diff)], names=["block", "node", "n", "a", "grams"])
+
+    both = rows.join(centre, "block", "left").select("block", "node", "n", "grams", F.coalesce("centre", F.array().cast(GRAMS)).alias("centre"))
+    schema = T.StructType([*rows.select("block", "node", "n").schema.fields, T.StructField("a", T.LongType()), T.StructField("grams", GRAMS)])
+    level = written(both.mapInArrow(differ, schema), "level")
+    nearest = level.groupBy("block").agg(F.min(F.struct("a", "node")).alias("nearest"))
+    level = level.join(nearest, "block").withColumn("apart", F.col("a") + F.col("nearest.a") > 0)
+    links = level.where("not apart and node <> nearest.node").select(F.col("nearest.node").alias("a"), F.col("node").alias("b"))
+    some = level.select("block", "node", "n", "a", "apart", F.col("nearest.a").alias("least"), "grams")
+    bound = F.pandas_udf(lambda x, a, m, d, n: pd.Series(least_met(*(c.to_numpy() for c in (x, a, m, d, n)), percent)), "long")
+    posts = some.select("block", "node", "apart", bound("apart", "a", "least", F.size("grams").cast("long"), "n").alias("least"), F.explode("grams").alias("g"))
+    shared = posts.groupBy("block", "g").agg(F.count("*").alias("k"), F.max("apart").alias("open")).where("k > 1 and open")
+    met = _ranked(posts.join(shared.drop("open"), ["block", "g"]), ["block", "node"]).where("rank >= least")
+    again = met.groupBy("block", "g").agg(F.count("*").alias("k"), F.max("apart").alias("open"), F.min("node").alias("first")).where("k > 1 and open")
+    met = written(met.select("block", "node", "g").join(again.select("block", "g", "first"), ["block", "g"]), "meetings")
+    # what meets, chained through, is a part; one that is still more than half of the block is dealt by each n-gram
+    chains = met.select(F.xxhash64("block", "first").alias("a"), F.xxhash64("block", "node").alias("b"))
+    chained = components(chains).select(F.col("node").alias("at"), F.col("root").alias("part"))
+    of = written(met.select("block", "node").distinct().withColumn("at", F.xxhash64("block", "node")).join(chained, "at").drop("at"), "parts")
+    counts = of.groupBy("block", "part").agg(F.count("*").alias("n_part")).join(sizes.select("block", "sets"), "block")
+    halves = of.join(counts.select("block", "part", (F.col("n_part") * 2 <= F.col("sets")).alias("half")), ["block", "part"])
+    whole = halves.where("half").select("block", "node", "part")
+    dealt = met.join(halves.where("not half"), ["block", "node"]).select("block", "node", F.xxhash64("block", "g").alias("part"))
+    parts = whole.union(dealt).join(level.select("block", "node", "n", "grams"), ["block", "node"])
+    return links, parts.select(F.col("part").alias("block"), "node", "n", "grams")
+
+
+def _resolved(rows: DataFrame, percent: int, part: int, room: int) -> DataFrame:
+    """Links of the blocks of rows (block, node, n, grams), of whatever size."""
+    found, level = None, rows.withColumn("n_grams", F.size("grams"))
+    while True:
+        level = written(level, "parts")
+        sizes = written(_sized(level), "sizes").where("sets > 1")
+        big = F.expr(f"sets > {part} or room > {room}")
+        small = _trees(level.join(sizes.where(~big).select("block"), "block"), percent)
+        if done := sizes.where(big).isEmpty():
+            links = small
+        else:
+            large = written(level.join(sizes.where(big).select("block"), "block").dropDuplicates(["block", "node"]), "large")
+            links, parts = _divided(large, sizes, percent)
+            links = links.union(small)
+        links = written(links.distinct(), "links")
+        found = links if found is None else found.union(links)
+        if done:
+            discard(level)
+            return found
+        level = parts.withColumn("n_grams", F.size("grams"))
+
+
+def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int = MANY, part: int = PART, room: int = ROOM) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     order = spark.sparkContext.broadcast(Order(_order_of(docs, n)))  # bounded by COMMON
 
     def sign(batches):
-        from xxhash import xxh3_128_digest
-
         grams = Grams(n)
         for b in batches:
-            size, mark, prefix = [], [], []
+            size, node, prefix = [], [], []
             for t in each_text(b.column(1)):
                 s = grams.set(t)
                 size.append(len(s))
-                mark.append(xxh3_128_digest(s.tobytes()))
-                prefix.append(order.value.path(s)[: prefix_length(len(s), percent)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(mark, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "mark", "prefix"])
-
-    signed = written(docs.mapInArrow(sign, "doc_id long, n long, mark binary, prefix array<long>"), "signed")
-    firsts = signed.where("doc_id is not null and n > 0").groupBy("mark").agg(F.min("doc_id").alias("first"))
-    copies = signed.select("doc_id", "n", "mark").join(firsts, "mark", "left")
-    alone = signed.join(firsts.select("mark", F.col("first").alias("doc_id")), ["mark", "doc_id"], "left_semi")
-    # one row for each prefix n-gram of each distinct set, dealt once; n-grams that only one set has find no partner
-    posts = alone.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("g")).repartition("g")
+                node.append(grams.node(s))
+                prefix.append(order.value.path(s)[: prefix_length(len(s), percent)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _array(prefix)], names=["doc_id", "n", "node", "prefix"])
+
+    kinds = [docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", GRAMS)]
+    signed = written(docs.mapInArrow(sign, T.StructType(kinds)), "signed")
+    usable = signed.where("doc_id is not null and n > 0")
+    # a row for each prefix n-gram of each distinct set; n-grams that only one has find no partner
+    alone = written(usable.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n")), "alone")
+    first = usable.join(alone.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
+    posts = first.select("node", "n", F.explode("prefix").alias("g")).repartition("g")
     shared = posts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    met = written(posts.join(shared, "g").select("id", "g", "k"), "met")
-    fits = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    # the set whose n-grams are met most often is the one that most near copies come from
-    sizes = alone.select(F.col("doc_id").alias("id"), "n").join(met.groupBy("id").agg(F.sum("k").alias("weight")), "id")
-    placed = written(met.join(sizes, "id"), "placed")
-    centre = placed.groupBy("g").agg(F.max(F.struct("weight", (-F.col("id")).alias("a"), F.col("n").alias("n_a"))).alias("c"))
-    stars = placed.join(centre.select("g", (-F.col("c.a")).alias("a"), F.col("c.n_a").alias("n_a")), "g").where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("n_a")))
-    stars = stars.groupBy("a", F.col("id").alias("b"), "n", "n_a").agg(F.count("*").alias("k"))
-    # another set may stand before a under some of the n-grams; the rest finds what this misses
-    stars = written(stars.where(F.col("k") * 2 >= least_shared(F.col("n"), F.col("n_a"), percent)).select("a", "b"), "stars")
-    links = _links(stars, docs, order, n, percent)
-    roots = written(components(links), "roots")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "g"))  # 1: met most often
-    in_group = placed.withColumn("rank", rank).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    in_group = written(in_group.select("g", "id", "n", "k", "rank", "root"), "in-group")
-    mixed = in_group.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("g")
-    pairs = _across(in_group.join(mixed, "g"), percent)
-    prefixes = written(alone.select(F.col("doc_id").alias("id"), "n", "prefix").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "prefixes")
-    side = lambda c: prefixes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= least_shared(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _links(pairs, docs, order, n, percent) if not pairs.isEmpty() else None
-    roots = components(links.union(more)) if more is not None else roots
-    of_copy = copies.join(roots.withColumnRenamed("node", "first"), "first", "left")
+    met = written(_ranked(posts.join(shared, "g"), ["node"]), "met")
+    chains = written(_chains(met, percent, many), "chains")
+    blocks = components(chains).select("node", F.col("root").alias("block"))
+    members = written(blocks.join(alone, "node").select("block", "node", F.col("first").alias("doc_id")), "members")
+    discard(met, chains)
+
+    def cut(batches):
+        grams = Grams(n)
+        for b in batches:
+            sets = [grams.set(t) for t in each_text(b.column(2))]
+            own = pa.array([grams.node(s) == x for s, x in zip(sets, b.column(1).to_pylist(), strict=True)])
+            out = pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), _array(sets)], names=["block", "node", "n", "grams"])
+            yield out.filter(own)
+
+    texts = docs.join(checked(members), "doc_id").select("block", "node", "text")
+    schema = T.StructType([*members.select("block", "node").schema.fields, T.StructField("n", T.LongType()), T.StructField("grams", GRAMS)])
+    links = _resolved(texts.mapInArrow(cut, schema), percent, part, room)
     # an id that repeats with different texts joins their groups
-    root = F.coalesce("root", "first", "doc_id")
-    return of_copy.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+    twice = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    twice = usable.join(twice, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
+    roots = components(links.union(twice))
+    # nodes of one row that nothing links stand for themselves
+    named = alone.join(roots, "node", "left").where("rows > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(named.join(least, "root").select("node", "component_id"), "named")
+    out = signed.select("doc_id", "n", "node").join(named, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,4 +473,5 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word sets of a similarity of 0.8 or more) stays, that of the smallest
     id (rows that repeat it stay too); documents without an id or words stay. Columns stay."""
     found = groups(docs, STAGE_NGRAM, STAGE_PERCENT).where("n_shingles > 0 and doc_id <> component_id")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(found.select("doc_id").distinct(), "gone")
+    return docs.join(checked(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -62,23 +62,53 @@ def test_against_brute_force(spark):
         assert got == brute(ids, texts, percent)
 
 
-def test_walk_matches_sets():
-    r = np.random.default_rng(1)
-    order = J.Order(np.array([3, 900, 500], np.uint64))
-    probe = np.unique(r.integers(0, 1000, 200)).astype(np.uint64)
-    paths = []
-    for k in range(60):
-        s = set(probe.tolist())
-        s -= set(r.choice(probe, k % 30).tolist())
-        s |= set(r.integers(1000, 2000, k % 7).tolist())
-        paths.append(order.path(np.array(sorted(s), np.uint64)))
-    paths.sort(key=lambda p: p.astype(">u8").tobytes())
-    want = [100 * len(set(p.tolist()) & set(probe.tolist())) >= 90 * len(set(p.tolist()) | set(probe.tolist())) for p in paths]
-    assert J.walk(probe, paths, order, 90) == want and any(want) and not all(want)
+def test_trees_match_sets():
+    r = random.Random(1)
+    for percent in (90, 80, 60):
+        found = sorted({frozenset(s) for s in sets(cases()) if s}, key=sorted)
+        number = {g: r.getrandbits(64) for s in found for g in s}
+        as_array = [np.array(sorted(number[g] for g in s), np.uint64) for s in found]
+        want = list(range(len(found)))
+        for a in range(len(found)):
+            for b in range(a):
+                if want[a] != want[b] and 100 * len(found[a] & found[b]) >= percent * len(found[a] | found[b]):
+                    least, most = sorted((want[a], want[b]))
+                    want = [least if x == most else x for x in want]
+        sizes = np.array([len(s) for s in found])
+        for hub in (np.empty(0, np.uint64), as_array[3], as_array[-1]):
+            paths = [np.setxor1d(s, hub, assume_unique=True) for s in as_array]
+            assert J.joined(sizes, paths, percent).tolist() == want
+
+
+def test_many_near_copies_are_divided(spark):
+    """Links are as few as sets however large the group; parts of parts still find every link."""
+    r = random.Random(8)
+    base = prose(41, 120, 5000)
+    texts = [near(base, k, r.choice([1, 2, 2, 3, 3, 4, 5])) for k in range(150)] + cases()
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.groups(frame(spark, texts), many=6, part=20, room=6000).collect()}
+    assert got == brute(range(len(texts)), texts)
+
+
+def test_large_group_is_linear(spark):
+    """2,000 near copies: as many links as sets at most, and parts in proportion."""
+    r = random.Random(9)
+    base = prose(43, 120, 5000)
+    texts = [near(base, k, r.choice([1, 2, 3, 4])) for k in range(2000)]
+    s = [x for x in dict.fromkeys(frozenset(x) for x in sets(texts))]
+    got = [(x.n_shingles, x.component_id) for x in J.groups(frame(spark, texts)).orderBy("doc_id").collect()]
+    number: dict = {}
+    arrays = [np.array(sorted(number.setdefault(g, r.getrandbits(64)) for g in x), np.uint64) for x in s]
+    root = J.joined(np.array([len(x) for x in s]), arrays, 90)  # held against brute force above
+    place, first = {x: k for k, x in enumerate(s)}, {}
+    want = [(len(x), first.setdefault(root[place[frozenset(x)]], i)) for i, x in enumerate(sets(texts))]
+    assert got == want
 
 
 def test_null_and_repeated_ids_and_empty(spark):
     rows = [(None, "a b c d"), (None, None), (4, "a b c d"), (4, "a b c d"), (7, "A b C d"), (8, None)]
+    joins = [("b", "one two three"), ("b", "four five six"), ("c", "one two three"), ("a", "four five six"), ("d", "x")]
+    found = J.groups(spark.createDataFrame(joins, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [("a", "a"), ("b", "a"), ("b", "a"), ("c", "a"), ("d", "d")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted([(None, 2, 4), (None, 0, None), (4, 2, 4), (4, 2, 4), (7, 2, 4), (8, 0, 8)], key=repr)
     assert J.groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
