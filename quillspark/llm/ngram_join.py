@@ -13,7 +13,8 @@ result, this one gives few candidates. Documents of equal sets are one *node*, l
    (``joined``). One walk takes all probes down the tree, shares the overlap of a common beginning among all paths below it,
    and leaves a subtree with each probe whose overlap so far and shorter rest can't reach the bound, or that is already
    linked with all below. What leaves the task is one link for each node at most.
-3. *Large blocks*, of more than ``PART`` sets or ``ROOM`` n-grams, are divided first. Each set becomes its difference from
+3. *Large blocks*: those of more than ``PART`` sets or ``ROOM`` n-grams are dealt to up to ``TILES`` tiles, any two of which meet
+   in a task. Still larger ones are divided first. Each set becomes its difference from
    the block's centre, the n-grams that most of its sets hold; distances between sets stay the same by that, but what a
    group of near copies has in common is gone. Sets near enough are linked to the one nearest to the centre; any other set can
    only be similar to sets whose differences meet its own (``least_met``), which makes parts as in step 1. Where chains
@@ -40,8 +41,8 @@ from pyspark.sql import types as T
 from .common import checked, discard, each_text, read, written
 from .components import components
 
-NGRAM, PERCENT, COMMON = 3, 90, 1 << 17
-MANY, PART, ROOM, FEW, CELLS, WIDTH = 4096, 512, 2_000_000, 8, 8_000_000, 1.02
+NGRAM, PERCENT, COMMON = 3, 90, 1 << 19
+MANY, PART, ROOM, TILES, FEW, CELLS, WIDTH = 4096, 512, 2_000_000, 16, 8, 8_000_000, 1.02
 #: What makes near copies in the pipeline; ``NGRAM`` and ``PERCENT`` are those of op3.
 STAGE_NGRAM, STAGE_PERCENT = 5, 80
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -240,17 +241,18 @@ def _ranked(met: DataFrame, key: list[str]) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("k"), "g")))
 
 
-def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
-    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, k, rank)."""
+def _chained(met: DataFrame, percent: int, many: int, least) -> DataFrame:
+    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, a, rank). ``least(n, m, a, b)``: how
+    many n-grams similar sets must share; where that is so, the one met least often has that rank or a higher one in either."""
 
     def chain(batches):
-        def pairs(g, node, n, rank):
+        def pairs(g, node, n, a, rank):
             """Of whole groups, sorted by g and n."""
             out_a, out_b = [], []
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             sizes = np.diff(np.append(starts, len(g)))
             few = np.repeat(sizes <= FEW, sizes)
-            fits = lambda i, j: (100 * n[i] >= percent * n[j]) & (np.minimum(rank[i], rank[j]) >= least_shared(n[i], n[j], percent))
+            fits = lambda i, j: (100 * n[i] >= percent * n[j]) & (np.minimum(rank[i], rank[j]) >= least(n[i], n[j], a[i], a[j]))
             for d in range(1, min(FEW, len(g))):
                 i = np.flatnonzero(few[:-d] & (g[:-d] == g[d:]))
                 i = i[fits(i, i + d)]
@@ -272,7 +274,7 @@ def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
             both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.empty((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for b in batches:
             held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # where the group begins that may go on
@@ -282,9 +284,13 @@ def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
         if len(held[0]):
             yield pairs(*held)
 
-    some = met.where(F.col("k") <= many).select("g", "node", "n", F.col("rank").cast("long").alias("rank"))
-    plain = some.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(chain, "a long, b long")
+    some = met.select("g", "node", "n", "a", F.col("rank").cast("long").alias("rank"))
+    return some.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(chain, "a long, b long")
+
 
+def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
+    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, k, rank) of prefixes."""
+    plain = _chained(met.where(F.col("k") <= many).withColumn("a", F.lit(0).cast("long")), percent, many, lambda n, m, a, b: least_shared(n, m, percent))
     # for sizes of bands i and i + d, each ``WIDTH`` wide, the least that must be shared leaves each node under few n-grams
     rows = met.where(F.col("k") > many).withColumn("band", F.floor(F.log("n") / F.log(F.lit(WIDTH)) + 1e-9).cast("long"))
     most = int(math.log(100 / percent) / math.log(WIDTH)) + 2
@@ -351,7 +357,7 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.count("*").alias("sets"), F.sum("n_grams").alias("room"))
 
 
-def _divided(rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _divided(rows: DataFrame, sizes: DataFrame, percent: int, many: int) -> tuple[DataFrame, DataFrame]:
     """Links to the nearest set of each (large) block of rows (block, node, n, grams), and the rows of its parts, each of
     half its size at most. ``sizes``: (block, sets)."""
     most = rows.select("block", F.explode("grams").alias("g")).groupBy("block", "g").agg(F.count("*").alias("k")).join(sizes.select("block", "sets"), "block")
@@ -372,36 +378,44 @@ def _divided(rows: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame
     links = level.where("not apart and node <> nearest.node").select(F.col("nearest.node").alias("a"), F.col("node").alias("b"))
     some = level.select("block", "node", "n", "a", "apart", F.col("nearest.a").alias("least"), "grams")
     bound = F.pandas_udf(lambda x, a, m, d, n: pd.Series(least_met(*(c.to_numpy() for c in (x, a, m, d, n)), percent)), "long")
-    posts = some.select("block", "node", "apart", bound("apart", "a", "least", F.size("grams").cast("long"), "n").alias("least"), F.explode("grams").alias("g"))
+    posts = some.select("block", "node", "n", "a", "apart", bound("apart", "a", "least", F.size("grams").cast("long"), "n").alias("least"), F.explode("grams").alias("g"))
     shared = posts.groupBy("block", "g").agg(F.count("*").alias("k"), F.max("apart").alias("open")).where("k > 1 and open")
     met = _ranked(posts.join(shared.drop("open"), ["block", "g"]), ["block", "node"]).where("rank >= least")
     again = met.groupBy("block", "g").agg(F.count("*").alias("k"), F.max("apart").alias("open"), F.min("node").alias("first")).where("k > 1 and open")
-    met = written(met.select("block", "node", "g").join(again.select("block", "g", "first"), ["block", "g"]), "meetings")
+    met = met.select("block", "node", "g", "n", "a", "rank").join(again.drop("open"), ["block", "g"])
+    met = written(met.withColumns({"at": F.xxhash64("block", "node"), "under": F.xxhash64("block", "g")}), "meetings")
     # what meets, chained through, is a part; one that is still more than half of the block is dealt by each n-gram
-    chains = met.select(F.xxhash64("block", "first").alias("a"), F.xxhash64("block", "node").alias("b"))
+    q = 2 * (100 + percent)
+    some = met.where(F.col("k") <= many).select(F.col("under").alias("g"), F.col("at").alias("node"), "n", "a", "rank")
+    chains = _chained(some, percent, many, lambda n, m, a, b: -(-(a + b) // q))
+    chains = chains.union(met.where(F.col("k") > many).select(F.xxhash64("block", "first").alias("a"), F.col("at").alias("b")))
     chained = components(chains).select(F.col("node").alias("at"), F.col("root").alias("part"))
-    of = written(met.select("block", "node").distinct().withColumn("at", F.xxhash64("block", "node")).join(chained, "at").drop("at"), "parts")
+    of = written(met.select("block", "node", "at").distinct().join(chained, "at").drop("at"), "parts")
     counts = of.groupBy("block", "part").agg(F.count("*").alias("n_part")).join(sizes.select("block", "sets"), "block")
     halves = of.join(counts.select("block", "part", (F.col("n_part") * 2 <= F.col("sets")).alias("half")), ["block", "part"])
     whole = halves.where("half").select("block", "node", "part")
-    dealt = met.join(halves.where("not half"), ["block", "node"]).select("block", "node", F.xxhash64("block", "g").alias("part"))
+    dealt = met.join(halves.where("not half"), ["block", "node"]).select("block", "node", F.col("under").alias("part"))
     parts = whole.union(dealt).join(level.select("block", "node", "n", "grams"), ["block", "node"])
     return links, parts.select(F.col("part").alias("block"), "node", "n", "grams")
 
 
-def _resolved(rows: DataFrame, percent: int, part: int, room: int) -> DataFrame:
+def _resolved(rows: DataFrame, percent: int, many: int, part: int, room: int) -> DataFrame:
     """Links of the blocks of rows (block, node, n, grams), of whatever size."""
     found, level = None, rows.withColumn("n_grams", F.size("grams"))
     while True:
         level = written(level, "parts")
-        sizes = written(_sized(level), "sizes").where("sets > 1")
-        big = F.expr(f"sets > {part} or room > {room}")
-        small = _trees(level.join(sizes.where(~big).select("block"), "block"), percent)
-        if done := sizes.where(big).isEmpty():
+        tiles = F.ceil(F.greatest(F.col("sets") / F.lit(part), F.col("room") / F.lit(room)))
+        sizes = written(_sized(level).where("sets > 1").withColumn("tiles", F.least(tiles, F.lit(TILES + 1)).cast("long")), "sizes")
+        # blocks of a few times what a task takes: dealt to tiles, any two of which meet in one task
+        of = level.join(sizes.where(F.col("tiles") <= TILES).select("block", "tiles"), "block").withColumn("i", F.pmod(F.xxhash64("node"), F.col("tiles")))
+        other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda j: (j != F.col("i")) | (F.col("tiles") == 1))
+        of = of.withColumn("j", F.explode(other)).withColumn("block", F.when(F.col("tiles") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("i", "j"), F.greatest("i", "j"))))
+        small = _trees(of, percent)
+        if done := sizes.where(F.col("tiles") > TILES).isEmpty():
             links = small
         else:
-            large = written(level.join(sizes.where(big).select("block"), "block").dropDuplicates(["block", "node"]), "large")
-            links, parts = _divided(large, sizes, percent)
+            large = written(level.join(sizes.where(F.col("tiles") > TILES).select("block"), "block").dropDuplicates(["block", "node"]), "large")
+            links, parts = _divided(large, sizes, percent, many)
             links = links.union(small)
         links = written(links.distinct(), "links")
         found = links if found is None else found.union(links)
@@ -452,7 +466,7 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int =
 
     texts = docs.join(checked(members), "doc_id").select("block", "node", "text")
     schema = T.StructType([*members.select("block", "node").schema.fields, T.StructField("n", T.LongType()), T.StructField("grams", GRAMS)])
-    links = _resolved(texts.mapInArrow(cut, schema), percent, part, room)
+    links = _resolved(texts.mapInArrow(cut, schema), percent, many, part, room)
     # an id that repeats with different texts joins their groups
     twice = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     twice = usable.join(twice, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()

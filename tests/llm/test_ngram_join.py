@@ -80,12 +80,13 @@ def test_trees_match_sets():
             assert J.joined(sizes, paths, percent).tolist() == want
 
 
-def test_many_near_copies_are_divided(spark):
+def test_many_near_copies_are_divided(spark, monkeypatch):
     """Links are as few as sets however large the group; parts of parts still find every link."""
+    monkeypatch.setattr(J, "TILES", 2)
     r = random.Random(8)
     base = prose(41, 120, 5000)
     texts = [near(base, k, r.choice([1, 2, 2, 3, 3, 4, 5])) for k in range(150)] + cases()
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.groups(frame(spark, texts), many=6, part=20, room=6000).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.groups(frame(spark, texts), many=6, part=15, room=6000).collect()}
     assert got == brute(range(len(texts)), texts)
 
 
