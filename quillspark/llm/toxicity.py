@@ -4,13 +4,17 @@ Exact TF-IDF cosine through a block-max inverted index; distance-weighted votes,
 the score and the evidence.
 
 * The examples are a bounded sample (``per_class`` of each label, the smallest hashes of the ids), the only thing that
-  is sent to every task. Terms are words and the 4- and 5-byte beginnings of longer words; those that are more than
-  twice as frequent in toxic examples, and surely so (chi-square over ``CHI2_MIN``), span the space.
-* For each term and block of examples the index keeps the largest weight. A query visits blocks by falling upper bound
-  until the bound is under the k-th best cosine, so that what it returns is exact.
-* Null and empty texts, and texts with no term of the space, have no neighbour; they get the calibrated share of toxic
+  is sent to every task. Terms are words and the 4- and 5-byte beginnings of longer words. All terms of the examples span the
+  space; none is left out. A term's idf is multiplied by ``FLOOR`` plus how surely it is more frequent in toxic examples (0 to
+  1, half at a chi-square of ``SURE``), so that what marks toxic texts outweighs what they are about.
+* The index has postings for each term, in blocks of ``BLOCK`` like examples (parted along their main directions), and
+  the largest weight of each term in each block. Bounds of all blocks come from these maxima; the ``FIRST`` blocks of the
+  highest bounds are scored, then all blocks whose bound reaches the k-th best cosine so far, so that what is
+  returned is exact.
+* Null and empty texts, and texts with no term of the examples, have no neighbour; they get the calibrated share of toxic
   examples among labelled texts of that kind. Ties in cosine go to the lower example number. With no usable label, or
-  labels of one class only, each score is that class's share (0 without any label). Repeated rows are scored each.
+  labels of one class only, each score is that class's share (0 without any label). Repeated rows are scored each; of examples
+  that repeat an id one counts, and where labels of an id differ it is toxic. Empty tables give no rows. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,55 +31,91 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, crc_fold, free_name, read, texts_of
 
-PER_CLASS, NEIGHBOURS, BLOCK, MAX_TERMS, CHI2_MIN, THRESHOLD = 1500, 15, 64, 4096, 25.0, 0.7
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, FLOOR, SURE, THRESHOLD = 1500, 31, 64, 4, 0.05, 25.0, 0.7
 
 
 def terms_of_word(w: bytes) -> list[bytes]:
     return [w, *(w[:n] + b"*" for n in (4, 5) if len(w) > n)]
 
 
-@dataclass
-class BlockMaxIndex:
-    """``weights``: blocks x terms x examples of a block; ``largest``: terms x blocks."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same from start[1], and so on."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+
+
+def like_order(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> np.ndarray:
+    """An order of the vectors in which like ones stand together: parted again and again at the middle of their main direction."""
+    sizes = np.array([len(t) for t, _ in rows], np.int64)
+    start = np.cumsum(sizes) - sizes
+    terms, weights = (np.concatenate([np.empty(0, k), *(r[i] for r in rows)]) for i, k in ((0, np.int64), (1, np.float64)))
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= block:
+            out.append(part)
+            continue
+        at = _ranges(start[part], sizes[part])
+        t, w, own = terms[at], weights[at], np.repeat(np.arange(len(part)), sizes[part])
+        mean = np.bincount(t, w, n_terms) / len(part)
+        x = np.cos(np.arange(len(part)))  # any start; the mean is taken out, so that the next direction isn't what all share
+        for _ in range(8):
+            v = np.bincount(t, w * x[own], n_terms) - x.sum() * mean
+            x = np.bincount(own, w * v[t], len(part)) - mean @ v
+            x /= max(np.linalg.norm(x), 1e-12)
+        part = part[np.argsort(x, kind="stable")]
+        middle = -(-len(part) // (2 * block)) * block
+        todo += [part[middle:], part[:middle]]
+    return np.concatenate([np.empty(0, np.int64), *out])
 
-    weights: np.ndarray
-    largest: np.ndarray
-    size: int
 
-    @classmethod
-    def build(cls, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> "BlockMaxIndex":
-        n_blocks = max(1, -(-len(rows) // block))
-        weights = np.zeros((n_blocks, max(1, n_terms), block), np.float32)
-        for i, (t, w) in enumerate(rows):
-            weights[i // block, t, i % block] = w
-        return cls(weights, np.ascontiguousarray(weights.max(axis=2).T), len(rows))
+class BlockMaxIndex:
+    """Postings (example, weight) by term and block, and the largest weight of each term in each block."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
+        self.size, self.block, self.n_blocks = len(rows), block, max(1, -(-len(rows) // block))
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in rows)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
+        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        by = np.lexsort((example, term))
+        term, self.weight, self.example = term[by], weight[by], example[by].astype(np.int32)
+        part = term * self.n_blocks + self.example // block
+        self.start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
+        self.length = np.diff(np.append(self.start, len(part)))
+        self.largest = np.maximum.reduceat(self.weight, self.start) if len(part) else np.empty(0)
+        self.of_block = (part[self.start] % self.n_blocks).astype(np.int64)
+        self.at = np.searchsorted(part[self.start] // self.n_blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties by number; ``skip`` is left out."""
         if not len(terms):
-            return np.empty(0, np.int64), np.empty(0, np.float32)
-        bound = w @ self.largest[terms]
+            return np.empty(0, np.int64), np.empty(0)
+        size = self.at[terms + 1] - self.at[terms]
+        entry, query = _ranges(self.at[terms], size), np.repeat(w, size)
+        block = self.of_block[entry]
+        bound = np.bincount(block, self.largest[entry] * query, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        ids, sims, worst, block = np.empty(0, np.int64), np.empty(0, np.float32), -1.0, self.weights.shape[2]
-        for b in order:
-            if bound[b] <= 0 or (len(ids) == k and bound[b] < worst - 1e-6):
-                break
-            s = w @ self.weights[b][terms]
-            hit = np.flatnonzero(s > max(0.0, worst - 1e-6))
-            hit = hit[hit + b * block != skip]
-            if len(hit):
-                ids, sims = np.concatenate([ids, hit + b * block]), np.concatenate([sims, s[hit]])
-                best = np.lexsort((ids, -sims))[:k]
-                ids, sims = ids[best], sims[best]
-                if len(ids) == k:
-                    worst = float(sims[-1])
-        return ids, sims
+        cosine, seen, worst = np.zeros(self.size), np.zeros(self.n_blocks, bool), 0.0
+        for now in (order[:FIRST], order[FIRST:]):
+            on = np.zeros(self.n_blocks, bool)
+            on[now[bound[now] * (1 + 1e-9) + 1e-12 >= worst]] = True
+            pick = on[block]
+            length = self.length[entry[pick]]
+            place = _ranges(self.start[entry[pick]], length)
+            cosine += np.bincount(self.example[place], self.weight[place] * np.repeat(query[pick], length), self.size)
+            if skip >= 0:
+                cosine[skip] = 0.0
+            seen |= on
+            if len(cosine) > k:
+                worst = float(np.partition(cosine, -k)[-k])
+        hit = np.flatnonzero(cosine > 0) if worst <= 0 else np.flatnonzero(cosine >= worst)
+        best = hit[np.lexsort((hit, -cosine[hit]))[:k]]
+        return best, cosine[best]
 
 
 class Model:
     """What ``fit`` learns. ``ids``, ``y``: the examples and their labels; ``rows``: numbers and counts of their terms in ``names``."""
 
-    def __init__(self, ids: list[int], y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], names: list[bytes], share: float, k: int = NEIGHBOURS):
+    def __init__(self, ids: list, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], names: list[bytes], share: float, k: int = NEIGHBOURS):
         self.k, n = k, len(ids)
         n1 = int(y.sum())
         n0 = n - n1
@@ -86,21 +125,14 @@ class Model:
         of = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for (t, _), v in zip(rows, y, strict=True) if v == label)]), minlength=len(names))
         a, b = of(1).astype(float), of(0).astype(float)
         c, d = n1 - a, n0 - b
-        under = np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-        chi2 = n * (a * d - b * c) ** 2 / under
-        good = np.flatnonzero((a >= 3) & (a * n0 > 2 * b * n1) & (chi2 >= CHI2_MIN))
-        chosen = sorted((-chi2[i], names[i], i) for i in good)[:MAX_TERMS]
-        self.term = {t: k for k, (_, t, _) in enumerate(chosen)}
-        self.idf = np.array([math.log((1 + n) / (1 + a[i] + b[i])) + 1 for _, _, i in chosen], np.float32)
-        place = np.full(len(names) + 1, -1, np.int64)
-        place[[i for _, _, i in chosen]] = np.arange(len(chosen))
-        vectors = [self.weigh({int(place[t]): int(m) for t, m in zip(ts, ms, strict=True) if place[t] >= 0}) for ts, ms in ((ts[place[ts] >= 0], ms[place[ts] >= 0]) for ts, ms in rows)]
-        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]  # blocks of like examples have tight bounds
-        order = sorted(range(n), key=lambda i: (y[i], heaviest[i], ids[i]))
-        self.y, self.mass = y[np.array(order, int)], self.mass[np.array(order, int)]
-        self.ids = [ids[i] for i in order]
-        vectors = [vectors[i] for i in order]
-        self.index = BlockMaxIndex.build(vectors, len(chosen))
+        chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+        sure = np.where(a * n0 > b * n1, chi2**4 / (chi2**4 + SURE**4), 0.0)
+        self.term = {t: i for i, t in enumerate(names)}
+        self.weight = (np.log((1 + n) / (1 + a + b)) + 1) * (FLOOR + sure)
+        vectors = [self.weigh(t, m) for t, m in rows]
+        order = like_order(vectors, len(names))
+        self.y, self.mass, self.ids, vectors = y[order], self.mass[order], [ids[i] for i in order], [vectors[i] for i in order]
+        self.index = BlockMaxIndex(vectors, len(names))
         none = np.array([not len(v[0]) for v in vectors], bool)
         self.bare = float((self.mass * self.y)[none].sum() + share) / float(self.mass[none].sum() + 1)
         self.slope, self.shift = 1.0, 0.0
@@ -112,18 +144,20 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"of_word": {}}
 
-    def weigh(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(sorted(tf), np.int64, len(tf))
-        w = np.array([1 + math.log(tf[i]) for i in t], np.float32) * self.idf[t]
-        return t, w / np.float32(max(math.sqrt(float(w @ w)), 1e-12))
+    def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A vector of length 1, by ascending term."""
+        by = np.argsort(t, kind="stable")
+        t = t[by]
+        w = (1 + np.log(counts[by])) * self.weight[t]
+        return t, w / max(float(np.linalg.norm(w)), 1e-12)
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         if not len(ids):
             return self.bare
-        w = sims.astype(float) / (1.05 - np.minimum(sims, 1)) * self.mass[ids]
+        w = sims / (1.05 - np.minimum(sims, 1)) * self.mass[ids]
         return float((w * self.y[ids]).sum() / w.sum())
 
-    def score(self, text: bytes) -> tuple[float, list[int]]:
+    def score(self, text: bytes) -> tuple[float, list]:
         """The score of a text and the ids of the examples that spoke for it, nearest first."""
         if self.trivial is not None:
             return self.trivial, []
@@ -131,12 +165,12 @@ class Model:
         for w, n in Counter(text.translate(WORD_TABLE).split()).items():
             at = seen.get(w)
             if at is None:
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 at = seen[w] = tuple(self.term[t] for t in terms_of_word(w) if t in self.term)
             for i in at:
                 tf[i] = tf.get(i, 0) + n
-        ids, sims = self.index.nearest(*self.weigh(tf), self.k)
+        ids, sims = self.index.nearest(*self.weigh(np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))), self.k)
         x = self.slope * logit(self.vote(ids, sims)) + self.shift
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.ids[i] for i in ids]
 
@@ -178,13 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
             cs = [Counter(t.translate(WORD_TABLE).split()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).cast(pa.int64()), b.column(2), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
+                    b.column(0), b.column(2), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()),
                     pa.array([list(c.keys()) for c in cs], pa.list_(pa.binary())), pa.array([list(c.values()) for c in cs], pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "y", "mark", "t", "n"],
             )
 
-    found = wanted.select("doc_id", "text", "y").mapInArrow(count, "doc_id long, y int, mark binary, t array<binary>, n array<int>").toArrow()
+    kinds = T.StructType([wanted.schema["doc_id"], *T.StructType.fromDDL("y int, mark binary, t array<binary>, n array<int>").fields])
+    found = wanted.select("doc_id", "text", "y").mapInArrow(count, kinds).toArrow()
     order = found.select(["doc_id", "mark"]).append_column("at", pa.array(range(len(found)))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
     number: dict[bytes, int] = {}
     ids, y, rows = [], [], []
@@ -203,15 +238,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
 
 def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str | None = "evidence") -> DataFrame:
     """``docs`` with its score, and if asked for the ids of the nearest examples."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 * per_class examples x MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the terms of 2 * per_class examples
     at = docs.columns.index("text")
-    fields = [T.StructField(score, T.DoubleType())] + ([T.StructField(evidence, T.ArrayType(T.LongType()))] if evidence else [])
+    kind = docs.schema["doc_id"].dataType if "doc_id" in docs.columns else T.LongType()
+    fields = [T.StructField(score, T.DoubleType())] + ([T.StructField(evidence, T.ArrayType(kind))] if evidence else [])
+    as_ids = pa.list_(docs.select("doc_id").limit(0).toArrow().schema.field(0).type) if evidence else None
 
     def run(batches):
         m = shared.value
         for b in batches:
             got = [m.score(t) for t in texts_of(b.column(at))]
-            cols = [pa.array([g[0] for g in got], pa.float64())] + ([pa.array([g[1] for g in got], pa.list_(pa.int64()))] if evidence else [])
+            cols = [pa.array([g[0] for g in got], pa.float64())] + ([pa.array([g[1] for g in got], as_ids)] if evidence else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in fields)])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity as X
 
-from .helpers import ODD, frame, prose
+from .helpers import ODD, frame, prose, words
 
 
 def labelled(spark, n=240):
@@ -22,7 +23,10 @@ def test_index_is_exact():
         t = np.unique(r.integers(0, 50, r.integers(0, 9)))
         w = r.random(len(t)).astype(np.float32)
         rows.append((t, w / np.float32(max(np.linalg.norm(w), 1e-9))))
-    index, dense = X.BlockMaxIndex.build(rows, 50, block=16), np.zeros((300, 50), np.float32)
+    order = X.like_order(rows, 50, 16)
+    assert sorted(order.tolist()) == list(range(300))
+    rows = [rows[i] for i in order]
+    index, dense = X.BlockMaxIndex(rows, 50, block=16), np.zeros((300, 50), np.float32)
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
     for t, w in rows:
@@ -46,6 +50,60 @@ def test_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for r in rows for i in r.evidence)
 
 
+def test_scores_against_brute_force(spark):
+    """Vectors, votes and calibration made again in plain Python over all pairs of texts and examples."""
+    texts, labels = labelled(spark, 160)
+    docs = frame(spark, texts + ODD)
+    model = X.fit(docs, labels, train=F.col("doc_id") < 100)
+    y, examples = [int(i % 4 == 0) for i in range(100)], texts[:100]
+
+    def counts(t):
+        c = {}
+        for w in words(t):
+            w = w.encode()
+            for x in [w, *(w[:n] + b"*" for n in (4, 5) if len(w) > n)]:
+                c[x] = c.get(x, 0) + 1
+        return c
+
+    have = [counts(t) for t in examples]
+    weight = {}
+    for term in {t for c in have for t in c}:
+        a, b = (sum(term in c for c, v in zip(have, y, strict=True) if v == k) for k in (1, 0))
+        c, d = 25 - a, 75 - b
+        chi = 100 * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1)
+        weight[term] = (math.log(101 / (1 + a + b)) + 1) * (X.FLOOR + (chi**4 / (chi**4 + X.SURE**4) if a * 75 > b * 25 else 0))
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(c) for c in have]
+
+    def vote(v, skip=None):
+        cos = sorted(((sum(x * u.get(t, 0) for t, x in v.items()), y[i]) for i, u in enumerate(vectors) if i != skip), reverse=True)
+        near = [(s / (1.05 - min(s, 1)), k) for s, k in cos[: X.NEIGHBOURS] if s > 1e-12]
+        return sum(w for w, k in near if k) / sum(w for w, _ in near) if near else model.bare
+
+    votes = np.array([vote(v, i) for i, v in enumerate(vectors)])
+    slope, shift = X.platt(votes, np.array(y, float), np.ones(100))
+    for r in X.scored(docs, model).collect():
+        p = min(max(vote(vector(counts(r.text))), 0.001), 0.999)
+        want = 1 / (1 + math.exp(-(slope * math.log(p / (1 - p)) + shift)))
+        assert abs(r.score - want) < 1e-6, (r.doc_id, r.score, want)
+
+
+def test_held_out_recall(spark):
+    """Documents and labels of the given tables, a third of the labels held out."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = X.fit(docs, labels, train=X.crc_fold("doc_id") != 1)
+    assert all(len(t) for t in (model.index.at, model.index.weight))
+    rows = X.scored(docs, model).join(labels.select("doc_id", "toxic"), "doc_id").where(X.crc_fold("doc_id") == 1).select("score", "toxic").collect()
+    hit = [r.score >= X.THRESHOLD for r in rows if r.toxic == 1]
+    false = [r.score >= X.THRESHOLD for r in rows if r.toxic == 0]
+    assert len(hit) >= 10 and sum(hit) >= 0.8 * len(hit) and sum(false) <= 0.02 * len(false), (sum(hit), len(hit), sum(false), len(false))
+
+
 def test_odd_rows_and_labels(spark):
     texts, labels = labelled(spark)
     docs = frame(spark, ODD + texts, start=-len(ODD)).withColumn("score", F.lit("mine"))
