@@ -20,6 +20,7 @@ the order of their texts. No documents, no files. Ids must be under 2**20.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, written
+from .common import checked, read, shared_dir, written
 
 MAGIC, BLOCK, LANES, LANE_IDS, END_ID, CACHE = b"QTOK0001", 1 << 21, 1 << 14, 128, 2, 300_000
 LOW48, TOP, SMALL = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
@@ -218,7 +219,9 @@ class Encoder:
     * Pre-tokens never cross from a non-space into a space, so a text may be cut before a space that stands alone between
       two other characters. A text with other white space beside a space is encoded whole.
     * A run of characters below ``PLAIN`` is cut into pre-tokens by the tokenizer's own pattern, each for the
-      library's BPE model; other runs, whose classes depend on the version of Unicode, go to the library as they are."""
+      library's BPE model; other runs, whose classes depend on the version of Unicode, go to the library as they are.
+
+    This holds for byte-level files without a normalizer; with any other file whole texts go to the library."""
 
     PLAIN, MARKS = "\u0250", frozenset(".,;:!?")
 
@@ -228,8 +231,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(tokenizer.to_str())
+        bpe, cutter = kind["model"], kind.get("pre_tokenizer") or {}
+        odd = any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        level = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        self.cuts = kind.get("normalizer") is None and bpe.get("type") == "BPE" and level and not odd
         special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
-        model, cut, letters = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall, byte_letters()
+        model, cut = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
+        letters = {c: "".join(map(chr, (byte_letters().get(b, b) for b in chr(c).encode()))) for c in range(ord(self.PLAIN))}
 
         class Kept(dict):
             """Answers of two generations: what is asked for again moves to the young one, what isn't goes with the old."""
@@ -246,21 +255,24 @@ class Encoder:
                 return x
 
         def of_piece(piece: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+            return array("I", [t.id for t in model.tokenize(piece.translate(letters))]).tobytes()
 
         def of_run(run: str) -> bytes | None:
+            if run.isalpha():
+                if run.isascii():
+                    return array("I", [t.id for t in model.tokenize("\u0120" + run)]).tobytes()
+                if max(run) < plain:
+                    return of_piece(" " + run)
             if not run or run[0].isspace() or run[-1].isspace():
                 return None
-            if run.isalpha() and max(run) < plain:
-                return piece(" " + run)
             if run[-1] in marks and run[:-1].isalpha() and max(run) < plain:
-                return piece(" " + run[:-1]) + piece(run[-1])
+                return self.runs[run[:-1]] + piece(run[-1])
             return encode(" " + run)
 
         piece, plain, marks = Kept(of_piece).__getitem__, self.PLAIN, self.MARKS
 
         def encode(s: str) -> bytes:
-            if s and max(s) < plain and not special(s):
+            if self.cuts and s and max(s) < plain and not special(s):
                 return b"".join(map(piece, cut(s)))
             return array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
 
@@ -268,7 +280,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
+        if not self.cuts or rest and (not first or first[-1].isspace()):
             return self.encode(text)
         parts = list(map(self.runs.__getitem__, rest))
         return self.encode(text) if None in parts else b"".join([self.encode(first), *parts])
@@ -391,7 +403,7 @@ def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     files = write_files(docs, tokenizer, f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))  # a row for each file
-    return read_documents(files).join(offsets, "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return read_documents(files).join(checked(offsets), "part").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenizer_path() -> str:
@@ -405,4 +417,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as token files: a row for each, with its place, number of ids and checksum as read back. Null and empty
+    texts, repeated ids and empty tables as in ``write_files``; columns beside doc_id and text aren't carried on."""
     return token_documents(docs, tokenizer_path())
