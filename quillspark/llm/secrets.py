@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and Markov models of random strings and of ordinary identifiers.
 
 Base spans come from three patterns (assignments of passwords and tokens, access keys, long hexadecimal runs). The method
-looks at every run of ``[A-Za-z0-9+/_=-]`` of ``LEAST`` characters or more that mixes digits with letters, and adds up, over its
-pairs of neighbouring characters, the log-likelihood ratio of two first-order Markov models; a run whose mean ratio is
-above ``CUT`` is a secret. The models are trained from labelled samples: random strings (base64, base62 and
+looks at every run of ``[A-Za-z0-9+/_-]`` (with up to two ``=`` behind) of ``LEAST`` characters or more, as far as no base span
+covers it, and adds up, over its pairs of neighbouring characters, the log-likelihood ratio of two first-order Markov
+models; a run whose mean ratio is above ``CUT`` + ``SHORT`` / length is a secret. The models are trained from labelled samples: random strings (base64, base62 and
 hexadecimal of digests, label 1) and identifiers put together from ordinary words (label 0). Training counts
 pairs with DataFrame operations; what comes to the driver is the table of ``len(ALPHABET)`` squared ratios.
 
@@ -11,8 +11,8 @@ Only built-in functions run over documents. Places are found without a function
 matches, and a match starts where the pieces and matches before it end. All places are code points, end exclusive.
 
 Null and empty texts have no spans. Overlapping matches of one kind can't occur; spans of different kinds may overlap and
-are all reported; a model span that overlaps a base span is dropped, as the base span already says it. Repeated
-rows are scanned each.
+are all reported; model spans are the parts of a run that no base span covers. Repeated rows are scanned each, and an empty
+table gives no rows. A caller's columns stay; ``prefix`` keeps the new ones apart.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, read
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-LEAST, CUT, SAMPLES = 20, 0.35, 4000
+LEAST, CUT, SHORT, SAMPLES, STRETCH = 16, 0.25, 6.0, 4000, 128
 
 #: kind -> pattern, least length, group whose length counts; in the order that the contract lists kinds.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?"""
 VALUE = r"[A-Za-z0-9+/_.=-]+"
 BASE = {"assign": ASSIGN + VALUE, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-MODEL = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+MODEL = rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 
 WORDS = (
     "account action active address agent alert archive array async batch binary block buffer build button cache call cancel channel check class "
@@ -51,7 +51,7 @@ WORDS = (
 
 
 def samples(spark: SparkSession, n: int = SAMPLES, seed: str = "train") -> DataFrame:
-    """(s, label): n random strings and n identifiers, from digests of a counter."""
+    """(s, label): n random strings and n identifiers (some are numbers, or one repeated character as in rules), from digests of a counter."""
     h = lambda k: F.sha2(F.concat(F.lit(f"{seed}:{k}:"), F.col("id").cast("string")), 256)
     digest = F.unhex(h("r"))
     b64 = F.base64(digest)
@@ -59,11 +59,12 @@ def samples(spark: SparkSession, n: int = SAMPLES, seed: str = "train") -> DataF
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.conv(F.substring(h("w"), 4 * k + 1, 4), 16, 10).cast("int") % len(WORDS) + 1).cast("int"))
     w = [word(k) for k in range(4)]
     number = (F.conv(F.substring(h("n"), 1, 3), 16, 10).cast("int") % 100).cast("string")
-    style = F.col("id") % 5
+    style, number = F.col("id") % 7, F.when(F.col("id") % 4 < 2, number).otherwise(F.lit(""))
     snake, camel = F.concat_ws("_", *w[:3]), F.concat(w[0], *map(F.initcap, w[1:4]))
     name = (
         F.when(style == 0, F.concat_ws("_", snake, number)).when(style == 1, F.concat(camel, number)).when(style == 2, F.concat_ws("-", *w, number))
-        .when(style == 3, F.concat(F.upper(snake), F.lit("_"), number)).otherwise(F.concat_ws("/", w[0], w[1], F.concat(w[2], number), w[3]))
+        .when(style == 3, F.concat(F.upper(snake), F.lit("_"), number)).when(style == 4, F.concat_ws("/", w[0], w[1], F.concat(w[2], number), w[3])).when(style == 5, F.translate(F.substring(h("d"), 1, 18), "abcdef", "012345"))
+        .otherwise(F.repeat(F.substring(F.lit(ALPHABET), (F.col("id") / 7 % len(ALPHABET)).cast("int") + 1, 1), F.lit(16)))
     )
     ids = spark.range(n)
     return ids.select(random.alias("s"), F.lit(1).alias("label")).union(ids.select(name.alias("s"), F.lit(0).alias("label")))
@@ -94,31 +95,59 @@ def mean_ratio(s: "F.Column", table: list[float]) -> "F.Column":
     return F.aggregate(both, F.lit(0.0), lambda acc, x: acc + x) / (F.length(s) - 1)
 
 
+SPANS = "array<struct<start:bigint,end:bigint,s:string>>"
+
+
 def matches(text: "F.Column", pattern: str) -> "F.Column":
-    """array<struct<start, end, s>> of the leftmost non-overlapping matches of ``pattern``, which never matches ''."""
+    """array<struct<start, end, s>> of the leftmost non-overlapping matches of ``pattern``, which never matches ''.
+
+    Places are summed up over the pieces and matches before, within stretches of ``STRETCH`` matches and then over these, so
+    that a text of many matches takes time in proportion."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,s:string>>").alias("out"))
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).cast("long").alias("p"), m.alias("m")))
 
     def step(acc, x):
-        begin = acc["at"] + F.length(x["p"])
+        begin = acc["at"] + x["p"]
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("s"))).alias("out"))
 
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,s:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(empty)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(both), F.lit(1)), F.lit(STRETCH))
+    stretches = F.transform(starts, lambda i: F.aggregate(F.slice(both, i, F.lit(STRETCH)), zero, step))
+    shift = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    shifts = F.aggregate(stretches, shift, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+    moved = F.zip_with(stretches, shifts, lambda x, at: F.transform(x["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["end"] + at).alias("end"), y["s"].alias("s"))))
+    return F.when(text.rlike(pattern), F.flatten(moved)).otherwise(F.array().cast(SPANS))
+
+
+def secret(s: "F.Column", table: list[float]) -> "F.Column":
+    """Whether a string of ``LEAST`` characters or more is a secret: a short one needs a higher mean ratio."""
+    return mean_ratio(s, table) > F.lit(CUT) + F.lit(SHORT) / F.length(s)
+
+
+def _outside(run: "F.Column", spans: "F.Column") -> "F.Column":
+    """The parts of ``run`` that no span covers. After the i-th end of the spans nothing is open if it isn't behind the start that follows."""
+    near = F.filter(spans, lambda y: (y["start"] < run["end"]) & (run["start"] < y["end"]))
+    starts = F.concat(F.array_sort(F.transform(near, lambda y: F.greatest(y["start"], run["start"]))), F.array(run["end"]))
+    ends = F.concat(F.array(run["start"]), F.array_sort(F.transform(near, lambda y: F.least(y["end"], run["end"]))))
+    parts = F.filter(F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda p: p["end"] - p["start"] >= LEAST)
+    cut = lambda p: F.substring(run["s"], (p["start"] - run["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int"))
+    return F.transform(parts, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), cut(p).alias("s")))
 
 
-def scan(docs: DataFrame, table: list[float] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``assign``, ``access``, ``hex``, ``model``: arrays of spans (start, end, s)."""
+def scan(docs: DataFrame, table: list[float] | None = None, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with ``assign``, ``access``, ``hex``, ``model`` (behind ``prefix``, for callers who have such columns): arrays of
+    spans (start, end, s). ``table``: what ``train`` gives; else that of ``samples``."""
     table = list(table or _trained(SAMPLES, "train"))
+    name = {k: f"{prefix}{k}" for k in KINDS}
     t = F.coalesce(F.col(text), F.lit(""))
     long = lambda x: F.length(F.regexp_extract(x["s"], f"^(?:{ASSIGN})({VALUE})$", 1)) >= 6
-    out = docs.withColumns({"assign": F.filter(matches(t, BASE["assign"]), long), "access": matches(t, BASE["access"]), "hex": matches(t, BASE["hex"]), "runs": matches(t, MODEL)})
-    mixed = lambda x: x["s"].rlike("[0-9]") & x["s"].rlike("[A-Za-z]") & (mean_ratio(x["s"], table) > CUT)
-    clear = lambda x: ~F.exists(F.concat("assign", "access", "hex"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    return out.withColumn("model", F.filter("runs", lambda x: mixed(x) & clear(x))).drop("runs")
+    runs = free_name(docs, "runs_")
+    out = docs.withColumns({name["assign"]: F.filter(matches(t, BASE["assign"]), long), name["access"]: matches(t, BASE["access"]), name["hex"]: matches(t, BASE["hex"]), runs: matches(t, MODEL)})
+    base = F.concat(*(name[k] for k in KINDS[:3]))
+    parts = F.flatten(F.transform(runs, lambda x: _outside(x, base)))
+    return out.withColumn(name["model"], F.when(F.size(runs) == 0, F.array().cast(SPANS)).otherwise(F.filter(parts, lambda x: secret(x["s"], table)))).drop(runs)
 
 
 KINDS = ("assign", "access", "hex", "model")

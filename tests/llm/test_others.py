@@ -133,7 +133,7 @@ def test_base_spans(spark):
 
 def test_models_tell_random_from_names(spark):
     table = secrets.train(secrets.samples(spark))
-    held = secrets.samples(spark, 1500, "held out").select("label", (secrets.mean_ratio(F.col("s"), table) > secrets.CUT).cast("int").alias("hit"))
+    held = secrets.samples(spark, 1500, "held out").select("label", secrets.secret(F.col("s"), table).cast("int").alias("hit"))
     assert held.where("label <> hit").count() <= 15
     rows = secrets.scan(frame(spark, ["key Zm9vQmFyOTg3NjU0MzIxMHF3ZXJ0eQ8x here", "the user_account_manager_handler_2 class"])).orderBy("doc_id").collect()
     assert [(s.start, s.end) for s in rows[0].model] == [(4, 36)] and rows[1].model == []
