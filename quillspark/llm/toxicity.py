@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, crc_fold, free_name, read, texts_of
 
-PER_CLASS, NEIGHBOURS, BLOCK, FIRST, FLOOR, SURE, THRESHOLD = 1500, 31, 64, 4, 0.05, 25.0, 0.7
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD = 1500, 31, 64, 4, 0.05, 0.05, 25.0, 0.7
 
 
 def terms_of_word(w: bytes) -> list[bytes]:
@@ -69,13 +69,24 @@ def like_order(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: i
 
 
 class BlockMaxIndex:
-    """Postings (example, weight) by term and block, and the largest weight of each term in each block."""
+    """Postings (example, weight) by term and block, and the largest weight of each term in each block. Terms of more than
+    ``OFTEN`` of the examples are rows with a weight for each example; they are summed up first, so that a block's bound is
+    the most that its examples have so far and the maxima of the other terms."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.size, self.block, self.n_blocks = len(rows), block, max(1, -(-len(rows) // block))
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in rows)])
         weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
         example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        # terms of many examples as whole rows, the others as postings
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) > OFTEN * len(rows))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), len(rows)), np.float32)
+        full = self.row[term] >= 0
+        self.dense[self.row[term[full]], example[full]] = weight[full]
+        term, weight, example = term[~full], weight[~full], example[~full]
+        self.first = np.arange(0, max(1, len(rows)), block)
         by = np.lexsort((example, term))
         term, self.weight, self.example = term[by], weight[by], example[by].astype(np.int32)
         part = term * self.n_blocks + self.example // block
@@ -89,22 +100,27 @@ class BlockMaxIndex:
         """The k examples of largest positive cosine, ties by number; ``skip`` is left out."""
         if not len(terms):
             return np.empty(0, np.int64), np.empty(0)
+        row = self.row[terms]
+        full = row >= 0
+        cosine = (w[full].astype(np.float32) @ self.dense[row[full]]).astype(float)
+        if skip >= 0:
+            cosine[skip] = 0.0
+        terms, w = terms[~full], w[~full]
         size = self.at[terms + 1] - self.at[terms]
         entry, query = _ranges(self.at[terms], size), np.repeat(w, size)
         block = self.of_block[entry]
-        bound = np.bincount(block, self.largest[entry] * query, self.n_blocks)
+        bound = np.maximum.reduceat(cosine, self.first) + np.bincount(block, self.largest[entry] * query, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        cosine, seen, worst = np.zeros(self.size), np.zeros(self.n_blocks, bool), 0.0
+        worst = 0.0
         for now in (order[:FIRST], order[FIRST:]):
             on = np.zeros(self.n_blocks, bool)
-            on[now[bound[now] * (1 + 1e-9) + 1e-12 >= worst]] = True
+            on[now[bound[now] + 1e-6 >= worst]] = True
             pick = on[block]
             length = self.length[entry[pick]]
             place = _ranges(self.start[entry[pick]], length)
             cosine += np.bincount(self.example[place], self.weight[place] * np.repeat(query[pick], length), self.size)
             if skip >= 0:
                 cosine[skip] = 0.0
-            seen |= on
             if len(cosine) > k:
                 worst = float(np.partition(cosine, -k)[-k])
         hit = np.flatnonzero(cosine > 0) if worst <= 0 else np.flatnonzero(cosine >= worst)
