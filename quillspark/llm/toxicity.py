@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, crc_fold, free_name, read, texts_of
 
-PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD = 1500, 31, 64, 4, 0.05, 0.05, 25.0, 0.7
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD, GROUP, WORDS = 1500, 31, 128, 2, 0.07, 0.05, 25.0, 0.7, 32, 200_000
 
 
 def terms_of_word(w: bytes) -> list[bytes]:
@@ -96,16 +96,29 @@ class BlockMaxIndex:
         self.of_block = (part[self.start] % self.n_blocks).astype(np.int64)
         self.at = np.searchsorted(part[self.start] // self.n_blocks, np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties by number; ``skip`` is left out."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest positive cosine, ties by number; ``skip`` names one to leave out of each.
+
+        Terms of many examples are one product for ``GROUP`` queries. The product is always of that many rows, so that what
+        a query gets doesn't depend on those beside it."""
+        out = []
+        for at in range(0, len(queries), GROUP):
+            group = queries[at : at + GROUP]
+            weights = np.zeros((GROUP, len(self.dense)), np.float32)
+            for i, (t, w) in enumerate(group):
+                row = self.row[t]
+                weights[i, row[row >= 0]] = w[row >= 0]
+            summed = weights @ self.dense
+            out += [self._nearest(*q, c.astype(float), k, skip[at + i] if skip else -1) for i, (q, c) in enumerate(zip(group, summed, strict=False))]
+        return out
+
+    def _nearest(self, terms: np.ndarray, w: np.ndarray, cosine: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(terms):
             return np.empty(0, np.int64), np.empty(0)
-        row = self.row[terms]
-        full = row >= 0
-        cosine = (w[full].astype(np.float32) @ self.dense[row[full]]).astype(float)
         if skip >= 0:
             cosine[skip] = 0.0
-        terms, w = terms[~full], w[~full]
+        few = self.row[terms] < 0
+        terms, w = terms[few], w[few]
         size = self.at[terms + 1] - self.at[terms]
         entry, query = _ranges(self.at[terms], size), np.repeat(w, size)
         block = self.of_block[entry]
@@ -153,12 +166,35 @@ class Model:
         self.bare = float((self.mass * self.y)[none].sum() + share) / float(self.mass[none].sum() + 1)
         self.slope, self.shift = 1.0, 0.0
         if self.trivial is None:
-            votes = np.array([self.vote(*self.index.nearest(*v, self.k, skip=i)) for i, v in enumerate(vectors)])
+            votes = np.array([self.vote(*v) for v in self.index.nearest(vectors, self.k, list(range(len(vectors))))])
             self.slope, self.shift = platt(votes, self.y, self.mass)
-        self.of_word: dict[bytes, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words that hold terms are numbered as they come; row n of ``of_word`` has the terms of word n, row 0 none. ``WORDS`` words
+        are kept, 0 for those without a term."""
+        self.number: dict[bytes, int] = {}
+        self.numbered = 0
+        self.of_word = np.full((1024, 3), len(self.term), np.int32)
 
     def __getstate__(self):
-        return self.__dict__ | {"of_word": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("number", "numbered", "of_word")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def _learn(self, word: bytes) -> int:
+        found = [self.term[t] for t in terms_of_word(word) if t in self.term]
+        if not found:
+            self.number[word] = 0
+            return 0
+        self.numbered += 1
+        if self.numbered >= len(self.of_word):
+            self.of_word = np.concatenate([self.of_word, np.full_like(self.of_word, len(self.term))])
+        self.of_word[self.numbered, : len(found)] = found
+        self.number[word] = self.numbered
+        return self.numbered
 
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A vector of length 1, by ascending term."""
@@ -173,22 +209,29 @@ class Model:
         w = sims / (1.05 - np.minimum(sims, 1)) * self.mass[ids]
         return float((w * self.y[ids]).sum() / w.sum())
 
-    def score(self, text: bytes) -> tuple[float, list]:
-        """The score of a text and the ids of the examples that spoke for it, nearest first."""
+    def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        words = Counter(text.translate(WORD_TABLE).split())
+        if len(self.number) >= WORDS:
+            self._forget()
+        number = [self.number.get(w, -1) for w in words]
+        if -1 in number:
+            number = [self._learn(w) if n < 0 else n for w, n in zip(words, number, strict=True)]
+        terms = self.of_word[number].reshape(-1)
+        counts = np.repeat(np.fromiter(words.values(), np.int64, len(words)), 3)
+        real = terms < len(self.term)
+        terms, at = np.unique(terms[real], return_inverse=True)
+        return self.weigh(terms, np.bincount(at, counts[real], len(terms)))
+
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list]]:
+        """For each text its score and the ids of the examples that spoke for it, nearest first."""
         if self.trivial is not None:
-            return self.trivial, []
-        seen, tf = self.of_word, {}
-        for w, n in Counter(text.translate(WORD_TABLE).split()).items():
-            at = seen.get(w)
-            if at is None:
-                if len(seen) >= 200_000:
-                    seen.clear()
-                at = seen[w] = tuple(self.term[t] for t in terms_of_word(w) if t in self.term)
-            for i in at:
-                tf[i] = tf.get(i, 0) + n
-        ids, sims = self.index.nearest(*self.weigh(np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))), self.k)
-        x = self.slope * logit(self.vote(ids, sims)) + self.shift
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.ids[i] for i in ids]
+            return [(self.trivial, [])] * len(texts)
+        out = []
+        for at in range(0, len(texts), GROUP):
+            for ids, sims in self.index.nearest([self.vector(t) for t in texts[at : at + GROUP]], self.k):
+                x = self.slope * logit(self.vote(ids, sims)) + self.shift
+                out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), [self.ids[i] for i in ids]))
+        return out
 
 
 def logit(p):
@@ -263,7 +306,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str |
     def run(batches):
         m = shared.value
         for b in batches:
-            got = [m.score(t) for t in texts_of(b.column(at))]
+            got = m.scores(texts_of(b.column(at)))
             cols = [pa.array([g[0] for g in got], pa.float64())] + ([pa.array([g[1] for g in got], as_ids)] if evidence else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in fields)])
 

@@ -29,8 +29,7 @@ def test_index_is_exact():
     index, dense = X.BlockMaxIndex(rows, 50, block=16), np.zeros((300, 50), np.float32)
     for i, (t, w) in enumerate(rows):
         dense[i, t] = w
-    for t, w in rows:
-        ids, sims = index.nearest(t, w, 10)
+    for (t, w), (ids, sims) in zip(rows, index.nearest(rows, 10), strict=True):
         q = np.zeros(50, np.float32)
         q[t] = w
         all_ = dense @ q
