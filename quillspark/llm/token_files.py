@@ -56,7 +56,8 @@ class Model:
         self.b = np.full(lanes, vocabulary, np.int64)
 
     def foresee(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: the ids of order 2 and 1, and cumulated frequencies of {order 2, order 1, neither}."""
+        """For the first n lanes: the ids of order 2 and 1, and cumulated frequencies of {order 2, order 1, neither}, four
+        numbers (from 0 to the total) for each case one after another."""
         self.a, self.b = self.a[:n], self.b[:n]
         self.slot = (self.a * 0x9E3779B1 + self.b * 0x85EBCA6B >> 7) & (self.HASH - 1)
         two, one = self.two[self.slot], self.one[self.b]
@@ -65,16 +66,16 @@ class Model:
         self.case = (self.c2 * 8 + self.c1 * 2 + (self.p2 == self.p1)).astype(np.int64)
         by = self.right.reshape(4, 4, 2, 3)
         mixed = 8 * by + 2 * by.sum((1, 2))[:, None, None] + by.sum((0, 2))[None, :, None] + 1
-        cum = np.zeros((32, 4), np.int64)
+        cum = np.zeros((32, 4), np.uint64)
         np.cumsum(mixed.reshape(32, 3), axis=1, out=cum[:, 1:])
-        return self.p2, self.p1, cum
+        return self.p2, self.p1, cum.reshape(-1)
 
     def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
         self.right += np.bincount(self.case * 3 + which, minlength=96).reshape(32, 3)
         self.right[self.right.sum(1) > 1 << 15] >>= 1
         new = ids[which == 2]
         if len(new):
-            np.add.at(self.zero, new, 2)
+            self.zero += 2 * np.bincount(new, minlength=len(self.zero))
             np.cumsum(self.zero, out=self.cum[1:])
         u = ids.astype(np.uint32)
         for table, slot, p, c in ((self.two, self.slot, self.p2, self.c2), (self.one, self.b, self.p1, self.c1)):
@@ -137,7 +138,7 @@ class Decoder:
 
     def value(self, on: np.ndarray, total: np.ndarray) -> np.ndarray:
         self.r = self.range[on] // total
-        return np.minimum((self.code[on] - self.low[on]) // self.r, total - np.uint64(1)).astype(np.int64)
+        return np.minimum((self.code[on] - self.low[on]) // self.r, total - np.uint64(1))
 
     def take(self, on: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low, range_ = self.low[on] + start * self.r, self.r * size
@@ -173,8 +174,9 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         row, on = row[:n], every[:n]
         p2, p1, cum = model.foresee(n)
         which = np.where(p2 == row, 0, np.where(p1 == row, 1, 2))
-        k = model.case
-        coder.put(on, u(cum[k, which]), u(cum[k, which + 1] - cum[k, which]), u(cum[k, 3]))
+        k = model.case * 4
+        start = cum.take(k + which)
+        coder.put(on, start, cum.take(k + which + 1) - start, cum.take(k + 3))
         if len(new := np.flatnonzero(which == 2)):
             x = row[new]
             coder.put(new, u(model.cum[x]), u(model.zero[x]), np.full(len(new), model.cum[-1], np.uint64))
@@ -195,14 +197,17 @@ def decode_block(read) -> np.ndarray:
         m = lanes if t < full else lanes - 1
         on = every[:m]
         p2, p1, cum = model.foresee(m)
-        k = model.case
-        v = decoder.value(on, u(cum[k, 3]))
-        which = (v >= cum[k, 1]).astype(np.int64) + (v >= cum[k, 2])
-        decoder.take(on, u(cum[k, which]), u(cum[k, which + 1] - cum[k, which]))
+        k = model.case * 4
+        v = decoder.value(on, cum.take(k + 3))
+        which = (v >= cum.take(k + 1)).astype(np.int64) + (v >= cum.take(k + 2))
+        start = cum.take(k + which)
+        decoder.take(on, start, cum.take(k + which + 1) - start)
         row = np.where(which == 0, p2, p1).astype(np.int64)
         if len(new := np.flatnonzero(which == 2)):
-            v = decoder.value(new, np.full(len(new), model.cum[-1], np.uint64))
-            x = np.searchsorted(model.cum, v, side="right") - 1
+            v = decoder.value(new, np.full(len(new), model.cum[-1], np.uint64)).astype(np.int64)
+            by = np.argsort(v)  # a search for ascending values stays within the cache
+            x = np.empty(len(v), np.int64)
+            x[by] = np.searchsorted(model.cum, v[by], side="right") - 1
             decoder.take(new, u(model.cum[x]), u(model.zero[x]))
             row[new] = x
         model.learn(row, which)
