@@ -274,7 +274,8 @@ class Encoder:
                 return self.runs[run[:-1]] + piece(run[-1])
             return encode(" " + run)
 
-        piece, plain, marks = Kept(of_piece).__getitem__, self.PLAIN, self.MARKS
+        self.pieces = Kept(of_piece)
+        piece, plain, marks = self.pieces.__getitem__, self.PLAIN, self.MARKS
 
         def encode(s: str) -> bytes:
             if self.cuts and s and max(s) < plain and not special(s):
@@ -283,6 +284,12 @@ class Encoder:
 
         self.encode, self.runs, self.size = encode, Kept(of_run), tokenizer.get_vocab_size()
 
+    def forget(self) -> None:
+        """Drops the answers kept, so that a worker that goes on to other work doesn't hold them."""
+        for kept in (self.pieces, self.runs):
+            kept.clear()
+            kept.old = {}
+
     def __call__(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not self.cuts or rest and (not first or first[-1].isspace()):
@@ -299,7 +306,7 @@ def byte_letters() -> dict[int, int]:
 
 @functools.cache
 def _encoder(path: str) -> Encoder:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker; each task drops the answers that it kept."""
     return Encoder(path)
 
 
@@ -345,6 +352,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
                 sizes.append(len(x) // 4)
                 if held >= BLOCK:
                     flush(BLOCK)
+        encoder.forget()
         if out is not None:
             flush(1)
             sink = pa.BufferOutputStream()

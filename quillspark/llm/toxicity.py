@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import WORD_TABLE, crc_fold, free_name, read, texts_of
 
-PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD, GROUP, WORDS = 1500, 31, 128, 2, 0.07, 0.05, 25.0, 0.7, 32, 200_000
+PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD, GROUP, WORDS, SLICE = 1500, 31, 128, 2, 0.07, 0.05, 25.0, 0.7, 32, 200_000, 512
 
 
 def terms_of_word(w: bytes) -> list[bytes]:
@@ -168,9 +168,9 @@ class Model:
         if self.trivial is None:
             votes = np.array([self.vote(*v) for v in self.index.nearest(vectors, self.k, list(range(len(vectors))))])
             self.slope, self.shift = platt(votes, self.y, self.mass)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Words that hold terms are numbered as they come; row n of ``of_word`` has the terms of word n, row 0 none. ``WORDS`` words
         are kept, 0 for those without a term."""
         self.number: dict[bytes, int] = {}
@@ -182,7 +182,7 @@ class Model:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._forget()
+        self.forget()
 
     def _learn(self, word: bytes) -> int:
         found = [self.term[t] for t in terms_of_word(word) if t in self.term]
@@ -212,7 +212,7 @@ class Model:
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = Counter(text.translate(WORD_TABLE).split())
         if len(self.number) >= WORDS:
-            self._forget()
+            self.forget()
         number = [self.number.get(w, -1) for w in words]
         if -1 in number:
             number = [self._learn(w) if n < 0 else n for w, n in zip(words, number, strict=True)]
@@ -306,9 +306,10 @@ def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str |
     def run(batches):
         m = shared.value
         for b in batches:
-            got = m.scores(texts_of(b.column(at)))
+            got = [x for k in range(0, b.num_rows, SLICE) for x in m.scores(texts_of(b.column(at).slice(k, SLICE)))]
             cols = [pa.array([g[0] for g in got], pa.float64())] + ([pa.array([g[1] for g in got], as_ids)] if evidence else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in fields)])
+        m.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
