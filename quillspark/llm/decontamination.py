@@ -6,11 +6,13 @@ than the shortest phrase are left out, and over the rest stand a suffix order, i
 matrix, and every ``SAMPLE``-th suffix position. All phrases are searched backward at once through the matrix' ranks,
 their rows are walked to the nearest sampled position, and the spans that they cover are merged for each document.
 
-Phrases are held in blocks of at most ``BLOCK_WORDS`` words, each broadcast by itself, so that a large benchmark costs
-more passes over a shard, not more memory.
+Phrases are held in blocks of at most ``BLOCK_WORDS`` words, each broadcast by itself. A worker that has several to go
+through keeps one at a time, so that a large benchmark costs more passes over a shard and readings of blocks from the
+executor's disk, not more memory.
 
 Null and empty texts have no words, no hits and no items. Items without words (null, empty) have no phrases. A null
-item_id counts as ''; rows that repeat an item_id are one item. Repeated documents are judged each for itself.
+item_id counts as ''; rows that repeat an item_id are one item. Repeated documents are judged each for itself. Empty
+tables of documents give no rows, empty benchmarks no hits.
 """
 
 from __future__ import annotations
@@ -178,19 +180,27 @@ def phrase_blocks(bench: DataFrame, window: int = WINDOW, block_words: int = BLO
     return [*out, *([sc.broadcast(Phrases(block, window))] if block else [])]
 
 
-def spans_of(text: bytes, hit: np.ndarray) -> list[dict]:
-    """Merged runs of hit words as code points, end exclusive."""
+def opened(blocks: list):
+    """The blocks one after another. A broadcast's value stays with the worker once read: of several, each is let go, where
+    the worker can read it from its file again (with encryption it can't)."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1 and getattr(b, "_path", None):
+            del b._value
+
+
+def spans_of(text: bytes, hit: np.ndarray) -> tuple[list[dict], str]:
+    """Merged runs of hit words as code points, end exclusive, and the text without them."""
     places = [m.span() for m in WORD.finditer(text.translate(WORD_TABLE))]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    out, seen, chars = [], 0, 0
+    out, rest, seen, chars = [], [], 0, 0
     for a, b in zip(edges[::2], edges[1::2], strict=True):
-        cut = []
-        for x in (places[a][0], places[b - 1][1]):
-            chars += len(text[seen:x].decode())
-            seen = x
-            cut.append(chars)
-        out.append({"start": cut[0], "end": cut[1]})
-    return out
+        first, last = places[a][0], places[b - 1][1]
+        rest.append(text[seen:first].decode())
+        start = chars + len(rest[-1])
+        chars, seen = start + len(text[first:last].decode()), last
+        out.append({"start": start, "end": chars})
+    return out, "".join([*rest, text[seen:].decode()])
 
 
 FOUND = T.StructType(
@@ -203,16 +213,17 @@ FOUND = T.StructType(
 )
 
 
-def contamination(docs: DataFrame, blocks: list, name: str = "found") -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, n_hit, items (whose phrases occur, sorted as strings), spans."""
-    at = docs.columns.index("text")
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+def contamination(docs: DataFrame, blocks: list, name: str = "found", rest: bool = False) -> DataFrame:
+    """``docs`` with a struct column ``name``: n_words, n_hit, items (whose phrases occur, sorted as strings), spans; with
+    ``rest`` also the text without its spans, null where it has none. A name that ``docs`` has gets underscores behind."""
+    at, name = docs.columns.index("text"), free_name(docs, name)
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), *([("rest", pa.string())] if rest else [])])
+    found_type = T.StructType([*FOUND.fields, *([T.StructField("rest", T.StringType())] if rest else [])])
 
     def shard(texts: list[bytes]) -> list[dict]:
         words = [None] * len(texts)
         hits, items = [None] * len(texts), [set() for _ in texts]
-        for b in blocks:
-            p = b.value
+        for p in opened(blocks):
             get, docs_ = p.vocabulary.get, []
             for k, t in enumerate(texts):
                 ids = np.array([get(w, 0) for w in t.translate(WORD_TABLE).split()], np.int64)
@@ -225,15 +236,12 @@ def contamination(docs: DataFrame, blocks: list, name: str = "found") -> DataFra
             for k in set(d.tolist()):
                 own = hit[start[k] : start[k + 1] - 1]
                 hits[k] = own if hits[k] is None else hits[k] | own
-        return [
-            {
-                "n_words": len(t.translate(WORD_TABLE).split()) if words[k] is None else words[k],
-                "n_hit": 0 if hits[k] is None else int(hits[k].sum()),
-                "items": sorted(items[k]),
-                "spans": [] if hits[k] is None else spans_of(t, hits[k]),
-            }
-            for k, t in enumerate(texts)
-        ]
+        out = []
+        for k, t in enumerate(texts):
+            spans, left = ([], None) if hits[k] is None else spans_of(t, hits[k])
+            n = len(t.translate(WORD_TABLE).split()) if words[k] is None else words[k]
+            out.append({"n_words": n, "n_hit": 0 if hits[k] is None else int(hits[k].sum()), "items": sorted(items[k]), "spans": spans} | ({"rest": left} if rest else {}))
+        return out
 
     def run(batches):
         for b in batches:
@@ -247,7 +255,7 @@ def contamination(docs: DataFrame, blocks: list, name: str = "found") -> DataFra
             found += shard(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, FOUND)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, found_type)]))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,19 +267,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def cut(text: "F.Column", spans: "F.Column") -> "F.Column":
-    """``text`` without ``spans``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"), s["end"].alias("at"))
-    finish = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
-
-
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents (two or more items) go; passages of an item are cut from the others. Columns stay."""
     name = free_name(docs, "contamination")
-    found = contamination(docs, phrase_blocks(read(spark, sf_dir, "benchmark")), name).where(F.size(f"{name}.items") < MIN_ITEMS)
-    found = found.withColumn("text", cut(F.col("text"), F.col(f"{name}.spans")))
+    found = contamination(docs, phrase_blocks(read(spark, sf_dir, "benchmark")), name, rest=True).where(F.size(f"{name}.items") < MIN_ITEMS)
+    rest = F.col(f"{name}.rest")
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size(f"{name}.spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return found.drop(name)
+        found = found.withColumn("n_chars", F.when(rest.isNull(), F.col("n_chars")).otherwise(F.length(rest).cast(docs.schema["n_chars"].dataType)))
+    return found.withColumn("text", F.coalesce(rest, "text")).drop(name)

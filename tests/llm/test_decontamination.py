@@ -85,3 +85,35 @@ def test_stage_cuts_and_drops(spark, tmp_path):
     rows = {r.doc_id: r for r in D.decontamination_stage(spark, docs, str(tmp_path)).collect()}
     assert set(rows) == {0, 1, 3} and rows[0].text == "clean text stays" and rows[3].text is None
     assert rows[1].text == "before . after" and rows[1].n_chars == len("before . after") and rows[1].contamination == 1
+
+
+def test_stage_cuts_many_passages_of_a_long_text(spark, tmp_path):
+    item = prose(1, 12, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [f"é日 {item} | " * 3000, "", "clean"])
+    rows = {r.doc_id: r.text for r in D.decontamination_stage(spark, docs, str(tmp_path)).collect()}
+    assert rows == {0: "é日  | " * 3000, 1: "", 2: "clean"}
+
+
+def test_workers_hold_one_block():
+    class Lazy:
+        _path = "somewhere"
+
+        @property
+        def value(self):
+            if not hasattr(self, "_value"):
+                self._value = object()
+            return self._value
+
+    blocks = [Lazy() for _ in range(10)]
+    for _ in range(2):
+        for p in D.opened(blocks):
+            assert [b for b in blocks if hasattr(b, "_value")] == [b for b in blocks if getattr(b, "_value", None) is p]
+    assert next(D.opened(blocks[:1])) is blocks[0]._value and list(D.opened(blocks[:1])) == [blocks[0]._value]
+
+
+def test_clashing_name(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = frame(spark, ["x a b c y"]).withColumn("found", F.lit("mine"))
+    (row,) = D.contamination(docs, D.phrase_blocks(bench), rest=True).collect()
+    assert row.found == "mine" and row.found_.n_hit == 3 and row.found_.rest == "x  y"
