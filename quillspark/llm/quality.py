@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, read
+from .common import add_columns, free_name, read
 
 WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_stutters", "n_upper", "n_lower")
@@ -104,9 +104,9 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measurements and ``failed``."""
-    clash = {c.lower() for c in docs.columns}
-    name = {m: m + "_" * (m in clash) for m in (*MEASURES, "failed")}
+    """``docs`` with the measurements and ``failed``; a name that ``docs`` has gets underscores behind. An empty table gives
+    no rows."""
+    name = {m: free_name(docs, m) for m in (*MEASURES, "failed")}
 
     def make():
         def run(texts):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, read
+from .common import add_columns, free_name, read
 
 CACHE, SPACE, UNKNOWN_COST = 300_000, "▁", 10.0
 WORD = re.compile("▁*[^▁]+|▁+$")
@@ -93,13 +93,14 @@ class Counter:
 
 
 def counted(docs: DataFrame, model: str, name: str = "n_tokens", text: str = "text") -> DataFrame:
-    """``docs`` with the number of tokens of each text."""
+    """``docs`` with the number of tokens of each text, under ``name`` or, where ``docs`` has that, with underscores behind.
+    Repeated rows are counted each; an empty table gives no rows."""
 
     def make():
         counter = Counter(Vocabulary.load(model))
         return lambda texts: [pa.array([counter(t.decode()) for t in texts], pa.int64())]
 
-    return add_columns(docs, text, [T.StructField(name, T.LongType())], make)
+    return add_columns(docs, text, [T.StructField(free_name(docs, name), T.LongType())], make)
 
 
 def model_path() -> str:

@@ -296,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str | None = "evidence") -> DataFrame:
-    """``docs`` with its score, and if asked for the ids of the nearest examples."""
+    """``docs`` with its score, and if asked for the ids of the nearest examples; a name that ``docs`` has gets underscores behind."""
+    score, evidence = free_name(docs, score), evidence and free_name(docs, evidence)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the terms of 2 * per_class examples
     at = docs.columns.index("text")
     kind = docs.schema["doc_id"].dataType if "doc_id" in docs.columns else T.LongType()
