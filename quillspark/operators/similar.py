@@ -1,7 +1,7 @@
 """Fuzzy top-k join (RO-10): Ratcliff-Obershelp ratio of subjects to the summaries of a reference table.
 
-The reference table is collected in blocks of at most ``BLOCK`` rows, each broadcast by itself; every subject keeps its best
-``top`` while the blocks go by, so that a larger table costs time, not memory. Bounds from lengths and from letter counts,
+The reference table is collected in blocks of at most ``BLOCK`` rows, each broadcast by itself, of which a worker holds one at
+a time; every subject keeps its best ``top`` while the blocks go by, so that a larger table costs time, not memory. Bounds from lengths and from letter counts,
 which no ratio exceeds, spare most comparisons. Ties keep the order of the table, as a stable sort does.
 """
 
@@ -31,26 +31,28 @@ def similar(docs: DataFrame, reference: DataFrame, key: str, text: str, top: int
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                s = " ".join((t or "").lower().split())
-                best: list[tuple[float, int, object]] = []
-                matcher = SequenceMatcher(None, "", "")
-                n = 0
-                for b in blocks if s else ():
-                    for i, r in b.value:
-                        n -= 1
-                        floor = best[0][0] if len(best) == top else least
-                        matcher.set_seq2(r)
+            subjects = [" ".join((t or "").lower().split()) for t in pdf[text]]
+            best: list[list[tuple[float, int, object]]] = [[] for _ in subjects]
+            matcher, n = SequenceMatcher(None, "", ""), 0
+            for b in blocks:
+                for i, r in b.value:  # what the matcher prepares for a summary serves all subjects
+                    n -= 1
+                    matcher.set_seq2(r)
+                    for s, own in zip(subjects, best, strict=True):
+                        floor = own[0][0] if len(own) == top else least
+                        if not s or 2 * min(len(s), len(r)) / (len(s) + len(r)) < floor:
+                            continue
                         matcher.set_seq1(s)
-                        if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
+                        if matcher.quick_ratio() < floor:
                             continue
                         x = matcher.ratio()
-                        if x >= least and (len(best) < top or x > best[0][0]):
-                            heapq.heappush(best, (x, n, i))
-                            if len(best) > top:
-                                heapq.heappop(best)
-                out += [(k, rank, i, x) for rank, (x, _, i) in enumerate(sorted(best, reverse=True), 1)]
+                        if x >= least and (len(own) < top or x > own[0][0]):
+                            heapq.heappush(own, (x, n, i))
+                            if len(own) > top:
+                                heapq.heappop(own)
+                if len(blocks) > 1 and getattr(b, "_path", None):  # else each block that was read stays with the worker
+                    del b._value
+            out = [(k, rank, i, x) for k, own in zip(pdf[key], best, strict=True) for rank, (x, _, i) in enumerate(sorted(own, reverse=True), 1)]
             yield pd.DataFrame(out, columns=["key", "rank", "ref_id", "ratio"])
 
     kind, ref = docs.schema[key].dataType.simpleString(), reference.schema["id"].dataType.simpleString()
