@@ -15,6 +15,8 @@ from . import lexicon as lex
 BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 MARKER = "[BLOCK: "
+#: Grave, acute, tilde, hook above, dot below; circumflex, breve, horn.
+MARKS = "\u0300\u0301\u0303\u0309\u0323\u0302\u0306\u031b"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -217,6 +219,24 @@ def truthy(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
 
 
+def _compositions() -> list[str]:
+    """Letter, mark and the one letter that both make, for all letters of Vietnamese; letters with one mark first."""
+    out, letters = [], "aeiouyAEIOUY"
+    for _ in range(2):
+        made = [(x + m, unicodedata.normalize("NFC", x + m)) for x in letters for m in MARKS]
+        made = [(x, y) for x, y in made if len(y) == 1]
+        out += [x + y for x, y in made]
+        letters = [y for _, y in made]
+    return out
+
+
+def composed(s: Column) -> Column:
+    """TX-18 for Vietnamese letters, without Python: marks that stand behind their letter become one with it."""
+    pairs = F.split(F.lit(" ".join(_compositions())), " ")
+    step = lambda acc, p: F.replace(acc, F.substring(p, 1, 2), F.substring(p, 3, 1))
+    return let(s, lambda x: F.when(x.rlike(f"[{MARKS}]"), F.aggregate(pairs, x, step)).otherwise(x))
+
+
 def nfc(s: Column) -> Column:
     """TX-18: canonical composition. Spark has no function for it; best done once, where texts come in."""
 
