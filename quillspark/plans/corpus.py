@@ -57,6 +57,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TEXTS, **_tables(spark, sf_dir))
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the texts are made of, a column each."""
+    return spark.sql(PARTS, **_tables(spark, sf_dir))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, input_ord, n_pages, so_van_ban, duong_dan_file)."""
     return spark.sql(RECORDS, **_tables(spark, sf_dir))

@@ -13,7 +13,7 @@ from ..operators import dossier as ds
 from ..operators import extract as ex
 from ..operators.similar import similar
 from ..sources import tables as src
-from .corpus import PARTS, RECORDS, TEXTS, duck, records, texts
+from .corpus import PARTS, RECORDS, TEXTS, duck, parts, records, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -288,9 +288,9 @@ def sk_english7(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM (
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'N'))""")
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 2 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))""")
 def ro_islands(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag <> 'N'").select("l_orderkey", "l_linenumber").distinct()
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
     return ds.islands(rows, ["l_orderkey"], "l_linenumber").withColumn("island", F.col("island").cast("long"))
 
 
@@ -344,3 +344,85 @@ def sc_recognised(spark, sf_dir):
     native = F.array(F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.element_at(lines, -1)))
     seen = F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.get(lines, F.lit(0))))
     return texts(spark, sf_dir).select("doc_id", F.array_join(src.with_recognised(native, seen), "|").alias("pages"))
+
+
+# White space as the line operators see it, for SQL whose \\s is ASCII only.
+_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STRIP = rf"'^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g'"
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(replace(replace(array_to_string(list_filter(list_transform({_LINES}, lambda x: regexp_replace(x, {_STRIP})), lambda x: x <> ''), chr(1)), '-' || chr(1), ''), chr(1), ' '),
+  '[{_BLANKS}]+', ' ', 'g'), ' ')) AS merged_md5 FROM documents""")
+def tx_line_merge(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(tx.merged(tx.split_lines(F.col("text"))).cast("binary")).alias("merged_md5"))
+
+
+_NAME_WORD = rf"\p{{Lu}}[^{_BLANKS}\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{Nd}}]*"
+
+
+@query(rf"""SELECT doc_id, CAST(len(list_filter({_LINES}, lambda x: regexp_matches(x, '^[{_BLANKS}]*{_NAME_WORD}([{_BLANKS}]+{_NAME_WORD}){{1,5}}[{_BLANKS}]*$'))) AS BIGINT) AS n_names FROM documents
+  UNION ALL SELECT doc_id, CAST(len(list_filter({_LINES}, lambda x: regexp_matches(x, '^[{_BLANKS}]*{_NAME_WORD}([{_BLANKS}]+{_NAME_WORD}){{1,5}}[{_BLANKS}]*$'))) AS BIGINT) FROM ({TEXTS})""")
+def tx_proper_name(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("doc_id", "text").union(texts(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.size(F.filter(tx.split_lines(F.col("text")), tx.proper_name)).cast("long").alias("n_names"))
+
+
+#: Lines with markdown by their number: a heading, a bold line, bold words in a line, none.
+_MARKED = "CASE line_no % 4 WHEN 0 THEN CONCAT('# ', line) WHEN 1 THEN CONCAT('**', line, '**') WHEN 2 THEN CONCAT('a **', line, '** b') ELSE line END"
+
+
+@query(f"SELECT doc_id, line_no, CASE line_no % 4 WHEN 2 THEN 'a ' || line || ' b' ELSE line END AS line, line_no % 4 IN (1, 2) AS bold, line_no % 4 = 0 AS heading FROM ({_LINE_ROWS})")
+def tx_unmarked(spark, sf_dir):
+    rows = _line_rows(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.unmarked(F.expr(_MARKED)).alias("u"))
+    return rows.select("doc_id", "line_no", F.col("u.s").alias("line"), "u.bold", "u.heading")
+
+
+#: Texts with some letters taken apart, dot below before and behind a circumflex or horn.
+_APART = "text"
+for _a, _b in (("Ế", "E\u0302\u0301"), ("Ị", "I\u0323"), ("ệ", "e\u0323\u0302"), ("ậ", "a\u0302\u0323"), ("ợ", "o\u0323\u031b"), ("ố", "o\u0302\u0301"), ("à", "a\u0300"), ("Ủ", "U\u0309"), ("ễ", "e\u0302\u0303")):
+    _APART = f"REPLACE({_APART}, '{_a}', '{_b}')"
+
+
+@query(f"SELECT doc_id, md5(nfc_normalize({_APART})) AS text_md5 FROM ({TEXTS})")
+def tx_composed(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", F.md5(tx.composed(F.expr(_APART)).cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT doc_id, kind AS doc_type, CAST(CASE WHEN kind = '' THEN -1 WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS at FROM ({PARTS})")
+def ex_type_excluded(spark, sf_dir):
+    """A title's word in a line that can't be one, then the title; a third of the titles are known to be bold."""
+    rows = parts(spark, sf_dir)
+    lines = F.filter(F.array(F.when(F.col("doc_id") % 2 == 0, F.lit("QUYẾT ĐỊNH CỦA DOANH NGHIỆP")).otherwise(F.lit("")), F.col("kind"), F.col("detail")), lambda x: x != "")
+    bold = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("QUYẾT ĐỊNH CỦA DOANH NGHIỆP"), F.col("kind")))
+    return rows.select("doc_id", ex.doc_type(lines, bold).alias("t")).select("doc_id", F.col("t.type").alias("doc_type"), F.col("t.at").cast("long").alias("at"))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '2005-2010' WHEN 1 THEN '2015-2020' ELSE '' END AS nhiem_ky FROM ({RECORDS})")
+def ex_late_tenure(spark, sf_dir):
+    folder = F.when(F.col("doc_id") % 3 == 0, "2005 - 2010 x").when(F.col("doc_id") % 3 == 1, "x2015 _2020").otherwise("2015")
+    rows = records(spark, sf_dir).withColumn("duong_dan_file", F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    rows = rows.withColumns({c: F.lit("") for c in ("so_ho_so", "so_va_ky_hieu_ho_so", "nhiem_ky")}).withColumn("so_ho_so", (F.col("doc_id") % 4099).cast("string"))
+    return ds.with_dossier_totals(rows).select("doc_id", "nhiem_ky")
+
+
+@query("""SELECT l_orderkey, coalesce(array_to_string(list_sort(list_distinct(flatten(list([CAST(l_suppkey AS STRING), l_returnflag]) FILTER (l_linenumber IN (1, 2))))), '|'), '') AS hints FROM lineitem GROUP BY l_orderkey""")
+def ro_set_union(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.flatten(F.collect_set(F.array(F.col("l_suppkey").cast("string"), "l_returnflag"))).alias("lines"))
+    pages = rows.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct((F.col("l_linenumber") - 1).cast("int").alias("k"), "lines"))).alias("pages"))
+    return pages.select("l_orderkey", F.array_join(F.array_sort(src.style_hints(F.col("pages"))), "|").alias("hints"))
+
+
+@query(f"SELECT doc_id, '[BLOCK: HEADER_LEFT]' || chr(10) || agency || CASE WHEN motto IS NULL THEN '' ELSE chr(10) || chr(10) || '[BLOCK: HEADER_RIGHT]' || chr(10) || motto END || chr(10) || chr(10) || '[BLOCK: MAIN_BODY]' || chr(10) || detail AS text FROM ({PARTS})")
+def sc_blocks(spark, sf_dir):
+    block = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("text"))
+    blocks = F.array(block("HEADER_LEFT", F.col("agency")), block("HEADER_RIGHT", F.coalesce("motto", F.lit(" "))), block("MAIN_BODY", F.concat(F.lit("\n"), F.col("detail"), F.lit(" "))))
+    return parts(spark, sf_dir).select("doc_id", src.block_text(blocks).alias("text"))
+
+
+@query("SELECT DISTINCT conv_id, turn, coalesce(conv_id IS NOT NULL AND turn % 2 = 0, false) AS known FROM conversations")
+def sc_cache(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = [F.col("conv_id").alias("content_hash"), F.col("turn").alias("page_no"), F.lit("e").alias("engine"), F.lit("vie").alias("lang"), F.lit(300).alias("dpi")]
+    known, missing = src.cached(c.select(*key).distinct(), c.where("turn % 2 = 0").select(*key, "text"))
+    rows = known.select("content_hash", "page_no", F.lit(True).alias("known")).union(missing.select("content_hash", "page_no", F.lit(False)))
+    return rows.select(F.col("content_hash").alias("conv_id"), F.col("page_no").alias("turn"), "known")
