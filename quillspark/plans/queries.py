@@ -154,7 +154,8 @@ def ex_agency(spark, sf_dir):
 
 @query(f"SELECT doc_id, number, symbol FROM ({PARTS})")
 def ex_number_symbol(spark, sf_dir):
-    return _field(lambda l: [ex.number_symbol(l)["number"].alias("number"), ex.number_symbol(l)["symbol"].alias("symbol")])(spark, sf_dir)
+    rows = _field(lambda l: [F.inline(F.array(ex.number_symbol(l)))])(spark, sf_dir)
+    return rows.select("doc_id", "number", "symbol")
 
 
 @query(f"SELECT doc_id, d || '/' || m || '/' || y AS signed_date FROM ({PARTS})")
