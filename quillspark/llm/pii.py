@@ -12,7 +12,8 @@ the result has the same shape, equal values stay equal in all documents, and dif
   digests of the other half and of the domain. Other characters and the domain stay.
 
 Only built-in functions are used. Null stays null, the empty text empty; what fails its validation stays as it is (a
-number that only looks like a card number is no card number). Repeated rows give equal results. Extra columns stay.
+number that only looks like a card number is no card number). Repeated rows give equal results. Extra columns stay. An empty
+table gives no rows. ``KEY`` is public: a key of one's own is handed in, or set as ``CONF`` in the session for the query.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, read
 
-ROUNDS, KEY = 10, "quillspark"
+ROUNDS, KEY, CONF = 10, "quillspark", "spark.quillspark.pii.key"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 SHAPES = {
@@ -187,6 +188,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", changes:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(CONF, KEY))
     count = lambda k: F.coalesce(F.size(F.filter("changes", lambda c: c["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", "text", *map(count, KINDS))

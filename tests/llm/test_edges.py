@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality, secrets, token_counts, toxicity
+from quillspark.llm import pii, quality, secrets, token_counts, toxicity
 
 from .helpers import frame
 
@@ -25,3 +25,17 @@ def test_empty_tables(spark):
     assert token_counts.counted(docs, token_counts.model_path()).collect() == []
     assert quality.ledger(docs).collect() == []
     assert secrets.scan(docs).collect() == []
+    assert pii.pseudonymised(docs).collect() == []
+
+
+def test_pii_key_of_the_session(spark, tmp_path):
+    text = "mail anna.berg@example.org from 192.168.7.44 on 14/03/1987"
+    frame(spark, [text, None]).write.parquet(f"{tmp_path}/documents.parquet")
+    query = lambda: {r.doc_id: r.text for r in pii.op6_pii(spark, str(tmp_path)).collect()}
+    public = query()
+    spark.conf.set(pii.CONF, "a key of one's own")
+    try:
+        own = query()
+    finally:
+        spark.conf.unset(pii.CONF)
+    assert public[1] is own[1] is None and len({text, public[0], own[0]}) == 3 and query() == public
