@@ -6,10 +6,13 @@ result, this one gives few candidates. Documents of equal sets are one *node*, l
 
 1. *Meetings.* Two sets that are similar enough share ``least_shared`` of their first ``n - ceil(t * n) + 1`` n-grams (half of
    these for large sets of like sizes), so that the rarest n-gram they share there has ``least_shared - 1`` more frequent
-   ones beside it in either. Nodes need only meet under n-grams that far down. What meets in this way, chained through, is a
+   ones beside it in either. Nodes need only meet under n-grams that far down. And what stands before a shared n-gram in the
+   one set and in no other prefix is missing in the other set, so that few such may stand before the last of those
+   ``least_shared``: that leaves each node a range of sizes (``sizes_met``), for most nodes none, whatever chance
+   meetings a large corpus brings. What meets in this way, chained through, is a
    *block*: nodes of different blocks have no link. Under an n-gram chains are handed on, a link for each node, never pairs;
    under one of more than ``MANY`` nodes that is done by bands of sizes with DataFrame operations, so that no task gets them all.
-2. *Trees.* The sets of a block come together once, in one task, and are stored as paths in a compressed prefix tree
+2. *Trees.* The texts of a block come together once, in one task, and their sets are stored as paths in a compressed prefix tree
    (``joined``). One walk takes all probes down the tree, shares the overlap of a common beginning among all paths below it,
    and leaves a subtree with each probe whose overlap so far and shorter rest can't reach the bound, or that is already
    linked with all below. What leaves the task is one link for each node at most.
@@ -30,6 +33,7 @@ where their texts differ, the id joins both groups. Ids may be of any type that
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -123,6 +127,21 @@ def _least_shared(n: "F.Column", m: "F.Column", percent: int) -> "F.Column":
     return least_shared(n, m, percent, div, F.least, lambda x, y: F.greatest(x, F.lit(y)))
 
 
+def sizes_met(n: np.ndarray, before: np.ndarray, alone: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest size of sets that may be similar to one of size n where the last prefix n-gram that both share has
+    ``before`` n-grams up to it, itself included, that other prefixes have too, and ``alone`` that none has; least > largest: none.
+
+    The ``alone`` ones aren't in the other set either, so that n - alone is all they can share; and it shares
+    ``least_shared`` of the ``before`` ones at least. Rounded to the safe side."""
+    q = 100 + percent
+    most = (n - alone) * q // percent - n  # (n + m) * percent <= (n - alone) * q
+    low, high = -(-percent * n // 100), 100 * n // percent
+    upto = np.minimum(np.minimum(most, (before - 1 - (-percent * n // 100)) * q // percent - n), n)  # of those up to n
+    above, top = np.maximum(n + 1, (100 * n * percent - 100 * before * q) // percent**2 - 1), np.minimum(most, high)
+    small, large = low <= upto, above <= top
+    return np.where(small, low, np.where(large, above, 1)), np.where(large, top, np.where(small, upto, 0))
+
+
 def least_met(apart: np.ndarray, a: np.ndarray, least: np.ndarray, d: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     """How many n-grams the difference (of size d) of a set of n from a centre must share with another one if their sets are
     similar and not both close to the block's nearest set. ``apart``: the set itself isn't; ``a``: as in ``joined``; ``least``:
@@ -241,40 +260,85 @@ def _ranked(met: DataFrame, key: list[str]) -> DataFrame:
     return met.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("k"), "g")))
 
 
+def _meetings(posts: DataFrame, percent: int) -> DataFrame:
+    """(node, n, g, k, rank, lo, hi) from prefixes (node, n, pos, g), one for each node: n-grams that k > 1 of them have and under
+    which a node may meet its like. ``rank``: as in ``_ranked``; lo to hi: the sizes of sets that it may be similar to."""
+    shared = posts.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1")
+
+    def run(batches):
+        def rows(node, n, pos, g, k):
+            """Of whole nodes, sorted by node and pos."""
+            new = np.concatenate([[True], node[1:] != node[:-1]])
+            starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+            before = np.arange(len(node)) - starts[of] + 1
+            lo, hi = sizes_met(n, before, pos + 1 - before, percent)
+            none = lo > hi
+            lo = np.minimum.reduceat(np.where(none, np.iinfo(np.int64).max, lo), starts)[of]
+            hi = np.maximum.reduceat(hi, starts)[of]
+            # every shared n-gram, not only the last, has no more than the n-grams missing in the other set before it
+            hi = np.minimum(hi, (n - (pos + 1 - before)) * (100 + percent) // percent - n)
+            by = np.lexsort((g, -k, of))
+            rank = np.empty(len(node), np.int64)
+            rank[by] = before
+            keep = lo <= hi
+            x, y = np.where(keep, lo, n), np.where(keep, hi, n)
+            # of the sizes in the range, the ends need least, but for rounding
+            keep &= rank >= np.minimum(least_shared(n, x, percent), least_shared(n, y, percent)) - 2
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (node, n, g, k, rank, lo, hi)], names=["node", "n", "g", "k", "rank", "lo", "hi"])
+
+        held = [np.empty(0, np.int64)] * 5
+        for b in batches:
+            held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # where the node begins that may go on
+            if last:
+                yield rows(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield rows(*held)
+
+    by_node = shared.select("node", "n", F.col("pos").cast("long").alias("pos"), "g", "k").repartition("node").sortWithinPartitions("node", "pos")
+    return by_node.mapInArrow(run, "node long, n long, g long, k long, rank long, lo long, hi long")
+
+
 def _chained(met: DataFrame, percent: int, many: int, least) -> DataFrame:
-    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, a, rank). ``least(n, m, a, b)``: how
-    many n-grams similar sets must share; where that is so, the one met least often has that rank or a higher one in either."""
+    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, a, rank, lo, hi). ``least(n, m, a, b)``: how
+    many n-grams similar sets must share; where that is so, the one met least often has that rank or a higher one in either.
+    lo to hi: sizes that each of both must have for the other."""
 
     def chain(batches):
-        def pairs(g, node, n, a, rank):
+        def pairs(g, node, n, a, rank, lo, hi):
             """Of whole groups, sorted by g and n."""
             out_a, out_b = [], []
             starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             sizes = np.diff(np.append(starts, len(g)))
             few = np.repeat(sizes <= FEW, sizes)
-            fits = lambda i, j: (100 * n[i] >= percent * n[j]) & (np.minimum(rank[i], rank[j]) >= least(n[i], n[j], a[i], a[j]))
+
+            def fits(i, j):
+                like = (100 * n[i] >= percent * n[j]) & (lo[i] <= n[j]) & (n[j] <= hi[i]) & (lo[j] <= n[i]) & (n[i] <= hi[j])
+                return like & (np.minimum(rank[i], rank[j]) >= least(n[i], n[j], a[i], a[j]))
+
             for d in range(1, min(FEW, len(g))):
                 i = np.flatnonzero(few[:-d] & (g[:-d] == g[d:]))
                 i = i[fits(i, i + d)]
                 out_a.append(node[i])
                 out_b.append(node[i + d])
-            for lo, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
                 root = np.arange(size)
                 for i in range(size - 1):
-                    j = np.arange(i + 1, lo + size - lo)
-                    j = j[: np.searchsorted(n[lo + i + 1 : lo + size], 100 * n[lo + i] // percent, side="right")]
+                    j = np.arange(i + 1, size)
+                    j = j[: np.searchsorted(n[at + i + 1 : at + size], 100 * n[at + i] // percent, side="right")]
                     j = j[root[j] != root[i]]
-                    j = j[fits(lo + i, lo + j)] if len(j) else j
+                    j = j[fits(at + i, at + j)] if len(j) else j
                     if len(j):
                         touched = np.unique(np.append(root[j], root[i]))
                         root[np.isin(root, touched)] = touched[0]
                 own = np.flatnonzero(root != np.arange(size))
-                out_a.append(node[lo + root[own]])
-                out_b.append(node[lo + own])
+                out_a.append(node[at + root[own]])
+                out_b.append(node[at + own])
             both = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.empty((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-        held = [np.empty(0, np.int64)] * 5
+        held = [np.empty(0, np.int64)] * 7
         for b in batches:
             held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
             last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # where the group begins that may go on
@@ -284,12 +348,12 @@ def _chained(met: DataFrame, percent: int, many: int, least) -> DataFrame:
         if len(held[0]):
             yield pairs(*held)
 
-    some = met.select("g", "node", "n", "a", F.col("rank").cast("long").alias("rank"))
+    some = met.select("g", "node", "n", "a", F.col("rank").cast("long").alias("rank"), "lo", "hi")
     return some.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(chain, "a long, b long")
 
 
 def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
-    """(a, b): nodes that may be similar, chained under each n-gram, from rows (g, node, n, k, rank) of prefixes."""
+    """(a, b): nodes that may be similar, chained under each n-gram, from the rows of ``_meetings``."""
     plain = _chained(met.where(F.col("k") <= many).withColumn("a", F.lit(0).cast("long")), percent, many, lambda n, m, a, b: least_shared(n, m, percent))
     # for sizes of bands i and i + d, each ``WIDTH`` wide, the least that must be shared leaves each node under few n-grams
     rows = met.where(F.col("k") > many).withColumn("band", F.floor(F.log("n") / F.log(F.lit(WIDTH)) + 1e-9).cast("long"))
@@ -301,8 +365,9 @@ def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
     n, d = F.col("n"), F.col("d")
     same = F.least(least(n, top(F.col("band"))), least(bottom(F.col("band")), n))
     dealt = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(most)).cast("array<bigint>")))
-    small = dealt.where(F.col("rank") >= F.when(d == 0, same).otherwise(least(n, top(F.col("band") + d)))).select("g", "band", "d", "node", F.lit(0).alias("side"))
-    large = dealt.where((d > 0) & (F.col("rank") >= least(bottom(F.col("band") - d), n))).select("g", (F.col("band") - d).alias("band"), "d", "node", F.lit(1).alias("side"))
+    like = lambda band: (F.col("lo") <= top(band)) & (F.col("hi") >= bottom(band))
+    small = dealt.where(like(F.col("band") + d)).where(F.col("rank") >= F.when(d == 0, same).otherwise(least(n, top(F.col("band") + d)))).select("g", "band", "d", "node", F.lit(0).alias("side"))
+    large = dealt.where((d > 0) & like(F.col("band") - d) & (F.col("rank") >= least(bottom(F.col("band") - d), n))).select("g", (F.col("band") - d).alias("band"), "d", "node", F.lit(1).alias("side"))
     key = ["g", "band", "d"]
     sides = small.union(large)
     first = sides.groupBy(*key).agg(F.min("node").alias("a"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("d = 0 or lo < hi")
@@ -324,10 +389,12 @@ def _array(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
 
 
-def _trees(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join what is similar in each block of rows (block, node, n, grams); blocks are small."""
+def _trees(rows: DataFrame, percent: int, ngram: int = 0) -> DataFrame:
+    """(a, b): links that join what is similar in each block of rows (block, node, n, grams); blocks are small. With ``ngram``,
+    of rows (block, node, text), whose sets of so many words are made where they meet, as texts take less room than sets."""
 
     def walk(batches):
+        made = Grams(ngram) if ngram else None
         held: list[tuple[int, int, np.ndarray]] = []
         block = None
 
@@ -339,18 +406,22 @@ def _trees(rows: DataFrame, percent: int) -> DataFrame:
 
         for b in batches:
             out = []
-            for x, node, n, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _lists(b.column(3)), strict=True):
+            sets = map(made.set, each_text(b.column(2))) if made else _lists(b.column(3))
+            sizes = repeat(None) if made else b.column(2).to_pylist()
+            for x, node, n, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), sizes, sets):  # noqa: B905
+                if made and made.node(grams) != node:  # another text of a repeated id
+                    continue
                 if x != block:
                     out += links()
                     block, held = x, []
                 if not held or held[-1][0] != node:
-                    held.append((node, n, grams.copy()))
+                    held.append((node, len(grams) if made else n, grams if made else grams.copy()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
         if out := links():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return rows.select("block", "node", "n", "grams").repartition("block").sortWithinPartitions("block", "node").mapInArrow(walk, "a long, b long")
+    return rows.select("block", "node", *(["text"] if ngram else ["n", "grams"])).repartition("block").sortWithinPartitions("block", "node").mapInArrow(walk, "a long, b long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -386,7 +457,8 @@ def _divided(rows: DataFrame, sizes: DataFrame, percent: int, many: int) -> tupl
     met = written(met.withColumns({"at": F.xxhash64("block", "node"), "under": F.xxhash64("block", "g")}), "meetings")
     # what meets, chained through, is a part; one that is still more than half of the block is dealt by each n-gram
     q = 2 * (100 + percent)
-    some = met.where(F.col("k") <= many).select(F.col("under").alias("g"), F.col("at").alias("node"), "n", "a", "rank")
+    any_size = F.lit(0).cast("long").alias("lo"), F.lit(1 << 62).alias("hi")
+    some = met.where(F.col("k") <= many).select(F.col("under").alias("g"), F.col("at").alias("node"), "n", "a", "rank", *any_size)
     chains = _chained(some, percent, many, lambda n, m, a, b: -(-(a + b) // q))
     chains = chains.union(met.where(F.col("k") > many).select(F.xxhash64("block", "first").alias("a"), F.col("at").alias("b")))
     chained = components(chains).select(F.col("node").alias("at"), F.col("root").alias("part"))
@@ -443,18 +515,26 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _array(prefix)], names=["doc_id", "n", "node", "prefix"])
 
     kinds = [docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", GRAMS)]
-    signed = written(docs.mapInArrow(sign, T.StructType(kinds)), "signed")
+    prefixes = written(docs.mapInArrow(sign, T.StructType(kinds)), "prefixes")
+    order.destroy()
+    signed = written(prefixes.drop("prefix"), "signed")
     usable = signed.where("doc_id is not null and n > 0")
     # a row for each prefix n-gram of each distinct set; n-grams that only one has find no partner
     alone = written(usable.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n")), "alone")
-    first = usable.join(alone.select("node", F.col("first").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
-    posts = first.select("node", "n", F.explode("prefix").alias("g")).repartition("g")
-    shared = posts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1")
-    met = written(_ranked(posts.join(shared, "g"), ["node"]), "met")
+    # one row of each node; those of the nodes that several rows have are few and are sorted out by themselves
+    several = written(alone.where("rows > 1").select("node", F.col("first").alias("doc_id")), "several")
+    some = prefixes.where("doc_id is not null and n > 0").select("doc_id", "node", "n", "prefix")
+    again = some.join(checked(several), ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    first = some.join(checked(several.select("node")), "node", "left_anti").unionByName(again)
+    posts = first.select("node", "n", F.posexplode("prefix").alias("pos", "g"))
+    met = written(_meetings(posts, percent), "met")
     chains = written(_chains(met, percent, many), "chains")
     blocks = components(chains).select("node", F.col("root").alias("block"))
-    members = written(blocks.join(alone, "node").select("block", "node", F.col("first").alias("doc_id")), "members")
-    discard(met, chains)
+    members = written(blocks.join(alone, "node").select("block", "node", F.col("first").alias("doc_id"), F.col("n").alias("n_grams")), "members")
+    discard(prefixes, several, met, chains)
+    # small blocks are gathered as texts; the sets of others are written, as tasks read them several times
+    sizes = _sized(members).withColumn("small", F.expr(f"sets <= {part} and room <= {room}"))
+    members = written(members.join(sizes.select("block", "small"), "block").select("block", "node", "doc_id", "small"), "members")
 
     def cut(batches):
         grams = Grams(n)
@@ -464,9 +544,11 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int =
             out = pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([len(s) for s in sets], pa.int64()), _array(sets)], names=["block", "node", "n", "grams"])
             yield out.filter(own)
 
-    texts = docs.join(checked(members), "doc_id").select("block", "node", "text")
-    schema = T.StructType([*members.select("block", "node").schema.fields, T.StructField("n", T.LongType()), T.StructField("grams", GRAMS)])
-    links = _resolved(texts.mapInArrow(cut, schema), percent, many, part, room)
+    texts = lambda small: docs.join(checked(members.where("small" if small else "not small")), "doc_id").select("block", "node", "text")
+    links = written(_trees(texts(True), percent, n), "links")
+    if not members.where("not small").isEmpty():
+        schema = T.StructType([*members.select("block", "node").schema.fields, T.StructField("n", T.LongType()), T.StructField("grams", GRAMS)])
+        links = links.union(_resolved(texts(False).mapInArrow(cut, schema), percent, many, part, room))
     # an id that repeats with different texts joins their groups
     twice = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     twice = usable.join(twice, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()

@@ -135,3 +135,35 @@ def test_stage(spark):
     docs = frame(spark, texts)
     out = J.ngram_join_stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4]
+
+
+def test_sizes_that_may_be_similar():
+    r, some = random.Random(4), 0
+    for _ in range(3000):
+        percent, n = r.choice([90, 80, 60]), r.randrange(1, 120)
+        x = r.sample(range(400), n)
+        y = r.sample(x, n - min(n - 1, r.randrange(0, 1 + n // 5))) + r.sample(range(400, 500), r.randrange(0, 1 + n // 5))
+        x, y = sorted(x), sorted(y)
+        both = set(x) & set(y)
+        if 100 * len(both) < percent * len(set(x) | set(y)):
+            continue
+        some += 1
+        fronts = [s[: J.prefix_length(len(s), percent)] for s in (x, y)]
+        last = max(set(fronts[0]) & set(fronts[1]))
+        for s, front, m in ((x, fronts[0], len(y)), (y, fronts[1], len(x))):
+            upto = [g for g in front if g <= last]
+            for others in ((), set(upto) - both):  # what only one set has may be in no other prefix, or in another's
+                before = sum(g in both or g in others for g in upto)
+                lo, hi = J.sizes_met(*(np.array([k]) for k in (len(s), before, len(upto) - before)), percent)
+                assert lo[0] <= m <= hi[0]
+    assert some > 500
+
+
+def test_chance_meetings_make_no_blocks(spark, monkeypatch):
+    r, seen, written = random.Random(6), {}, J.written
+    texts = [prose(1000 + k, r.randrange(100, 125), 50) for k in range(600)]
+    texts += [near(texts[k], k, 1) for k in range(20)]
+    monkeypatch.setattr(J, "written", lambda df, name: seen.setdefault(f"{name} {len(seen)}", written(df, name)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in J.groups(frame(spark, texts)).collect()}
+    assert got == brute(range(len(texts)), texts)
+    assert next(df.count() for name, df in seen.items() if name.startswith("members")) < 200  # about four in ten of the n-grams are met elsewhere
