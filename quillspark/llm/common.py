@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -42,10 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and lost executors cost no more than the tasks that ran there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with no_shuffle_left(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def no_shuffle_left(spark: SparkSession):
+    """What runs within leaves no shuffle files when it ends; else they stay until the driver happens to collect its garbage,
+    and the disk holds those of all steps at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``written`` has made, once nothing that is still to run reads it."""
     for df in tables:
@@ -57,7 +72,8 @@ def discard(*tables: DataFrame) -> None:
 
 def checked(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """``df``, of a few short columns, for a join: to be broadcast if it is known to have no more than ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+    with no_shuffle_left(df.sparkSession):
+        return F.broadcast(df) if df.count() <= most else df
 
 
 def free_name(df: DataFrame, stem: str) -> str:
