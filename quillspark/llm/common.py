@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -21,6 +23,9 @@ WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 
+#: Bytes of rows that go to a Python worker at once; see ``in_arrow``.
+BATCH_BYTES = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -97,6 +102,44 @@ def each_text(column: pa.Array, rows: int = 500):
         yield from texts_of(column.slice(k, rows))
 
 
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` in little memory: batches of up to ``BATCH_BYTES`` (a row, if it is longer) instead of ten
+    thousand rows, which the JVM, the worker and the way back each hold, and a worker gives back what a task has freed. As
+    the caller may run the plan later, the session keeps the lower limit; one lower still is left alone."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    limit = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
+    if not 0 < limit <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def arrow_table(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
+    """A small table of the driver. Made from Arrow, the JVM alone reads it; rows of Python objects would go through workers of
+    another kind than queries have, so that each executor starts a second daemon and its workers beside the first."""
+    return spark.createDataFrame(rows, schema)
+
+
+def give_back() -> None:
+    """Memory that Arrow's pool and the C library hold for later goes back to the system, as the worker stays."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    """glibc's malloc_trim; None where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
 def add_columns(df: DataFrame, text: str, fields: list[T.StructField], fn) -> DataFrame:
     """``df`` with the columns ``fields`` behind its own. ``fn()`` runs once in each task and returns a function from the
     UTF-8 texts of a batch to a list of Arrow arrays."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, free_name, read, texts_of
+from .common import WORD_TABLE, free_name, in_arrow, read, texts_of
 
 WINDOW, SAMPLE, SHARD_BYTES, BLOCK_WORDS, MIN_ITEMS = 8, 8, 16 << 20, 1_000_000, 2
 WORD = re.compile(rb"[^\x20]+")
@@ -255,7 +255,7 @@ def contamination(docs: DataFrame, blocks: list, name: str = "found", rest: bool
             found += shard(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, found_type)]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, found_type)]))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked, discard, each_text, read, written
+from .common import checked, discard, each_text, in_arrow, read, written
 from .components import components
 
 NGRAM, PERCENT, COMMON = 3, 90, 1 << 19
@@ -250,7 +250,7 @@ def _order_of(docs: DataFrame, n: int) -> "np.ndarray":
         if parts:
             yield flush(parts)
 
-    sums = docs.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 8")
+    sums = in_arrow(docs, count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 8")
     rows = sums.orderBy(F.desc("n"), "g").limit(COMMON).toPandas()
     return rows["g"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
@@ -297,7 +297,7 @@ def _meetings(posts: DataFrame, percent: int) -> DataFrame:
             yield rows(*held)
 
     by_node = shared.select("node", "n", F.col("pos").cast("long").alias("pos"), "g", "k").repartition("node").sortWithinPartitions("node", "pos")
-    return by_node.mapInArrow(run, "node long, n long, g long, k long, rank long, lo long, hi long")
+    return in_arrow(by_node, run, "node long, n long, g long, k long, rank long, lo long, hi long")
 
 
 def _chained(met: DataFrame, percent: int, many: int, least) -> DataFrame:
@@ -349,7 +349,7 @@ def _chained(met: DataFrame, percent: int, many: int, least) -> DataFrame:
             yield pairs(*held)
 
     some = met.select("g", "node", "n", "a", F.col("rank").cast("long").alias("rank"), "lo", "hi")
-    return some.repartition("g").sortWithinPartitions("g", "n", "node").mapInArrow(chain, "a long, b long")
+    return in_arrow(some.repartition("g").sortWithinPartitions("g", "n", "node"), chain, "a long, b long")
 
 
 def _chains(met: DataFrame, percent: int, many: int) -> DataFrame:
@@ -421,7 +421,7 @@ def _trees(rows: DataFrame, percent: int, ngram: int = 0) -> DataFrame:
         if out := links():
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
-    return rows.select("block", "node", *(["text"] if ngram else ["n", "grams"])).repartition("block").sortWithinPartitions("block", "node").mapInArrow(walk, "a long, b long")
+    return in_arrow(rows.select("block", "node", *(["text"] if ngram else ["n", "grams"])).repartition("block").sortWithinPartitions("block", "node"), walk, "a long, b long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def _divided(rows: DataFrame, sizes: DataFrame, percent: int, many: int) -> tupl
 
     both = rows.join(centre, "block", "left").select("block", "node", "n", "grams", F.coalesce("centre", F.array().cast(GRAMS)).alias("centre"))
     schema = T.StructType([*rows.select("block", "node", "n").schema.fields, T.StructField("a", T.LongType()), T.StructField("grams", GRAMS)])
-    level = written(both.mapInArrow(differ, schema), "level")
+    level = written(in_arrow(both, differ, schema), "level")
     nearest = level.groupBy("block").agg(F.min(F.struct("a", "node")).alias("nearest"))
     level = level.join(nearest, "block").withColumn("apart", F.col("a") + F.col("nearest.a") > 0)
     links = level.where("not apart and node <> nearest.node").select(F.col("nearest.node").alias("a"), F.col("node").alias("b"))
@@ -515,7 +515,7 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), _array(prefix)], names=["doc_id", "n", "node", "prefix"])
 
     kinds = [docs.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", GRAMS)]
-    prefixes = written(docs.mapInArrow(sign, T.StructType(kinds)), "prefixes")
+    prefixes = written(in_arrow(docs, sign, T.StructType(kinds)), "prefixes")
     order.destroy()
     signed = written(prefixes.drop("prefix"), "signed")
     usable = signed.where("doc_id is not null and n > 0")
@@ -548,7 +548,7 @@ def groups(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, many: int =
     links = written(_trees(texts(True), percent, n), "links")
     if not members.where("not small").isEmpty():
         schema = T.StructType([*members.select("block", "node").schema.fields, T.StructField("n", T.LongType()), T.StructField("grams", GRAMS)])
-        links = links.union(_resolved(texts(False).mapInArrow(cut, schema), percent, many, part, room))
+        links = links.union(_resolved(in_arrow(texts(False), cut, schema), percent, many, part, room))
     # an id that repeats with different texts joins their groups
     twice = usable.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     twice = usable.join(twice, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked, read, shared_dir, written
+from .common import checked, in_arrow, read, shared_dir, written
 
 MAGIC, BLOCK, LANES, LANE_IDS, END_ID, CACHE = b"QTOK0001", 1 << 21, 1 << 14, 128, 2, 300_000
 LOW48, TOP, SMALL = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
@@ -365,7 +365,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
             fs.move(own, f"{path}/part-{part:06d}.qtok")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["file", "part", "n_docs", "n_ids"])
 
-    return written(ranged.mapInArrow(run, "file string, part long, n_docs long, n_ids long"), "token-files")
+    return written(in_arrow(ranged, run, "file string, part long, n_docs long, n_ids long"), "token-files")
 
 
 def read_file(name: str):
@@ -409,7 +409,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     n = max(1, files.count())
-    return files.select("file", "part").repartition(n).mapInArrow(run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return in_arrow(files.select("file", "part").repartition(n), run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
 def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

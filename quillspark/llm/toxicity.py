@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, crc_fold, free_name, read, texts_of
+from .common import WORD_TABLE, arrow_table, crc_fold, free_name, in_arrow, read, texts_of
 
 PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD, GROUP, WORDS, SLICE = 1500, 31, 128, 2, 0.07, 0.05, 25.0, 0.7, 32, 200_000, 512
 
@@ -259,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
     known = known.where(train) if train is not None else known
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    take = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    if not take:
+    take = pa.concat_tables([known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).toArrow() for y in (0, 1)])
+    if not len(take):
         return Model([], np.empty(0), [], [], 0.0)
-    some = spark.createDataFrame([(r["doc_id"], r["y"]) for r in take], T.StructType([known.schema["doc_id"], T.StructField("y", T.IntegerType())]))
+    some = arrow_table(spark, take, T.StructType([known.schema["doc_id"], T.StructField("y", T.IntegerType())]))
     wanted = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # 2 * per_class rows of two numbers
 
     def count(batches):
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
             )
 
     kinds = T.StructType([wanted.schema["doc_id"], *T.StructType.fromDDL("y int, mark binary, t array<binary>, n array<int>").fields])
-    found = wanted.select("doc_id", "text", "y").mapInArrow(count, kinds).toArrow()
+    found = in_arrow(wanted.select("doc_id", "text", "y"), count, kinds).toArrow()
     order = found.select(["doc_id", "mark"]).append_column("at", pa.array(range(len(found)))).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
     number: dict[bytes, int] = {}
     ids, y, rows = [], [], []
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str |
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in fields)])
         m.forget()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return in_arrow(docs, run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
