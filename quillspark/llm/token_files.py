@@ -20,6 +20,8 @@ the order of their texts. No documents, no files. Ids must be under 2**20.
 from __future__ import annotations
 
 import functools
+import heapq
+import itertools
 import json
 import re
 import struct
@@ -29,6 +31,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -218,17 +221,154 @@ def decode_block(read) -> np.ndarray:
     return ids
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] numbers, then the same from start[1], and so on."""
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
+
+
+class Merges:
+    """Byte-pair merges of many pre-tokens side by side: those of a length are the columns of an array, and in each step every
+    column joins its pair of the lowest rank, of equal ones the first. Ranks of pairs are in a table in which a pair has two
+    possible places."""
+
+    NO_RANK, LONGEST, BITS = np.int64(1 << 40), 255, 8
+
+    def __init__(self, vocabulary: dict[str, int], merges: list):
+        self.byte = np.array([vocabulary[chr(byte_letters().get(b, b))] for b in range(256)], np.int64)
+        self.made = np.array([vocabulary[a + b] for a, b in merges] + [0], np.int64)
+        self.none = max(vocabulary.values()) + 1  # beside the first and the last symbol
+        pairs = [vocabulary[a] * (self.none + 1) + vocabulary[b] for a, b in merges]
+        self.shift = 64 - max(4, (4 * len(pairs)).bit_length())
+        while not self._place(pairs):
+            self.shift -= 1
+        self.first = self.rank(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+
+    def _places(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = pair.view(np.uint64)
+        return tuple((u * np.uint64(m) >> np.uint64(self.shift)).view(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+    def _place(self, pairs: list[int]) -> bool:
+        one, two = (x.tolist() for x in self._places(np.array(pairs, np.int64)))
+        held: dict[int, int] = {}
+        for k in range(len(pairs)):
+            at = one[k]
+            for _ in range(200):
+                k, held[at] = held.get(at, -1), k  # noqa: PLW2901
+                if k < 0:
+                    break
+                at = two[k] if at == one[k] else one[k]
+            else:
+                return False
+        self.pairs, self.ranks = np.full(1 << 64 - self.shift, -1, np.int64), np.full(1 << 64 - self.shift, self.NO_RANK)
+        for at, k in held.items():
+            self.pairs[at], self.ranks[at] = pairs[k], k
+        return True
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a * (self.none + 1) + b
+        one, two = self._places(pair)
+        at = np.where(self.pairs[one] == pair, one, two)
+        return np.where(self.pairs[at] == pair, self.ranks[at], self.NO_RANK)
+
+    def __call__(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, how many each has, and which begin with a space. No piece is null or empty."""
+        _, offsets, data = pieces.buffers()
+        offset = np.frombuffer(offsets, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        data, start, length = np.frombuffer(data, np.uint8), offset[:-1], np.diff(offset)
+        size, parts = np.empty(len(length), np.int64), []
+        for n in np.unique(length).tolist():
+            for some in np.array_split(every := np.flatnonzero(length == n), -(-len(every) // 8192)):
+                got = self._joined(data[start[some] + np.arange(n)[:, None]]) if n <= self.LONGEST else self._long(data, start[some], n)
+                keep = got >= 0
+                size[some] = keep.sum(1)
+                parts.append((some, got[keep]))
+        flat, at = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        for some, ids in parts:
+            flat[_ranges(at[some], size[some])] = ids
+        return flat, size, data[start] == 32
+
+    def _joined(self, letters: np.ndarray) -> np.ndarray:
+        """``letters``: bytes by place and piece. Ids by piece and place; -1 where a place was joined to one before."""
+        n, wide = letters.shape
+        symbol = np.full((n + 2, wide), self.none, np.int64)
+        symbol[1:-1] = self.byte[letters]
+        place = np.arange(n + 2)[:, None]
+        best = np.full((n + 2, wide), self.NO_RANK << self.BITS)
+        best[1:-2] = (self.first[letters[:-1].astype(np.int64) * 256 + letters[1:]] << self.BITS) + place[1:-2]
+        after, before = np.repeat(place + 1, wide, 1), np.repeat(place - 1, wide, 1)
+        symbol_, best_, after_, before_ = (x.reshape(-1) for x in (symbol, best, after, before))
+        least = best.min(0)
+        while len(on := np.flatnonzero(least < self.NO_RANK)):
+            x = least[on]
+            p = x & ((1 << self.BITS) - 1)
+            at = p * wide + on
+            gone = after_[at] * wide + on
+            new = self.made[x >> self.BITS]
+            right = after_[gone]
+            past = right * wide + on
+            left = before_[at]
+            back = left * wide + on
+            symbol_[at], symbol_[gone], best_[gone] = new, -1, self.NO_RANK << self.BITS
+            after_[at], before_[past] = right, p
+            best_[at] = (self.rank(new, symbol_[past]) << self.BITS) + p
+            best_[back] = (self.rank(symbol_[back], new) << self.BITS) + left
+            least = best.min(0)
+        return symbol[1:-1].T
+
+    def _long(self, data: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """Long pieces, one by one, by a heap of their pairs."""
+        out = np.full((len(start), n), -1, np.int64)
+        for k, s in enumerate(start.tolist()):
+            out[k] = self._heap(data[s : s + n])
+        return out
+
+    def _heap(self, letters: np.ndarray) -> np.ndarray:
+        symbol, n = self.byte[letters].tolist(), len(letters)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        first = self.first[letters[:-1].astype(np.int64) * 256 + letters[1:]].tolist()
+        none = int(self.NO_RANK)
+        heap = [(r, p, symbol[p], symbol[p + 1]) for p, r in enumerate(first) if r < none]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+
+        def push(p: int, q: int) -> None:
+            pair = symbol[p], symbol[q]
+            if pair not in known:
+                known[pair] = int(self.rank(np.array([pair[0]]), np.array([pair[1]]))[0])
+            if known[pair] < none:
+                heapq.heappush(heap, (known[pair], p, *pair))
+
+        while heap:
+            r, p, a, b = heapq.heappop(heap)
+            q = after[p]
+            if symbol[p] != a or q >= n or symbol[q] != b:
+                continue
+            symbol[p], symbol[q], after[p] = int(self.made[r]), -1, after[q]
+            if after[p] < n:
+                before[after[p]] = p
+                push(p, after[p])
+            if before[p] >= 0:
+                push(before[p], p)
+        return np.array(symbol)
+
+
 class Encoder:
-    """Byte-level BPE of the tokenizers library. What it gave for a run of text is kept (twice ``CACHE`` of them), in two steps:
+    """Byte-level BPE as the tokenizers library has it, for a batch of texts at a time: Arrow splits the texts into runs and numbers
+    the different ones, each of these is looked up once a batch, and the ids are put together by their numbers. The ids of
+    runs are kept for later batches (up to ``CACHE`` runs before a batch, then it starts anew).
 
     * Pre-tokens never cross from a non-space into a space, so a text may be cut before a space that stands alone between
       two other characters. A text with other white space beside a space is encoded whole.
-    * A run of characters below ``PLAIN`` is cut into pre-tokens by the tokenizer's own pattern, each for the
-      library's BPE model; other runs, whose classes depend on the version of Unicode, go to the library as they are.
+    * A run of characters below ``PLAIN`` is cut into pre-tokens by the tokenizer's own pattern, which
+      ``Merges`` joins many at a time; other runs, whose classes depend on the version of Unicode, go to the library as they are.
 
     This holds for byte-level files without a normalizer; with any other file whole texts go to the library."""
 
-    PLAIN, MARKS = "\u0250", frozenset(".,;:!?")
+    PLAIN = "\u0250"
+    #: A run, among runs that stand between spaces, that is empty or has white space at an end.
+    SPACED = staticmethod(re.compile(r"(?:\A|\x20)(?:\x20|[^\S\x20]|\Z)|[^\S\x20](?:\x20|\Z)").search)
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -241,61 +381,93 @@ class Encoder:
         odd = any(bpe.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
         level = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
         self.cuts = kind.get("normalizer") is None and bpe.get("type") == "BPE" and level and not odd
-        special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
-        model, cut = tokenizer.model, regex.compile(public_tokenizers.PATTERN).findall
-        letters = {c: "".join(map(chr, (byte_letters().get(b, b) for b in chr(c).encode()))) for c in range(ord(self.PLAIN))}
-
-        class Kept(dict):
-            """Answers of two generations: what is asked for again moves to the young one, what isn't goes with the old."""
-
-            def __init__(self, make):
-                self.make, self.old = make, {}
-
-            def __missing__(self, key):
-                if len(self) >= CACHE:
-                    self.old = dict(self)
-                    self.clear()
-                x = self.old.get(key, self)
-                x = self[key] = self.make(key) if x is self else x
-                return x
-
-        def of_piece(piece: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(piece.translate(letters))]).tobytes()
-
-        def of_run(run: str) -> bytes | None:
-            if run.isalpha():
-                if run.isascii():
-                    return array("I", [t.id for t in model.tokenize("\u0120" + run)]).tobytes()
-                if max(run) < plain:
-                    return of_piece(" " + run)
-            if not run or run[0].isspace() or run[-1].isspace():
-                return None
-            if run[-1] in marks and run[:-1].isalpha() and max(run) < plain:
-                return self.runs[run[:-1]] + piece(run[-1])
-            return encode(" " + run)
-
-        self.pieces = Kept(of_piece)
-        piece, plain, marks = self.pieces.__getitem__, self.PLAIN, self.MARKS
-
-        def encode(s: str) -> bytes:
-            if self.cuts and s and max(s) < plain and not special(s):
-                return b"".join(map(piece, cut(s)))
-            return array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
-
-        self.encode, self.runs, self.size = encode, Kept(of_run), tokenizer.get_vocab_size()
+        vocabulary, merges = bpe.get("vocab") or {}, [m.split(" ") if isinstance(m, str) else m for m in bpe.get("merges") or []]
+        self.cuts = self.cuts and len(set(map(tuple, merges))) == len(merges) and all(chr(byte_letters().get(b, b)) in vocabulary for b in range(256))
+        self.merges = Merges(vocabulary, merges) if self.cuts else None
+        self.special = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)").search
+        self.cut, self.size = regex.compile(public_tokenizers.PATTERN).findall, tokenizer.get_vocab_size()
+        self.encode = lambda s: array("I", tokenizer.encode(s, add_special_tokens=False).ids).tobytes()
+        self.forget()
 
     def forget(self) -> None:
-        """Drops the answers kept, so that a worker that goes on to other work doesn't hold them."""
-        for kept in (self.pieces, self.runs):
-            kept.clear()
-            kept.old = {}
+        """Drops the answers kept, so that a worker that goes on to other work doesn't hold them. ``number``: of runs, -1 for those that
+        need their whole text encoded; run n has ``length[n]`` ids in ``flat`` from ``start[n]`` on, run 0 none."""
+        self.number: dict[str, int] = {"": -1}
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _numbers(self, runs: list[str]) -> np.ndarray:
+        if len(self.number) >= CACHE:
+            self.forget()
+        numbers = np.fromiter(map(self.number.get, runs, itertools.repeat(-2)), np.int64, len(runs))
+        new = np.flatnonzero(numbers == -2)
+        if not len(new):
+            return numbers
+        own, plain, special = [runs[k] for k in new.tolist()], self.PLAIN, self.special
+        found, together = np.full(len(own), -1), " ".join(own)
+        if max(together) < plain and not special(together) and not self.SPACED(together):
+            kind = np.full(len(own), 2)
+        else:  # 0: asks for its whole text, 1: by the library, 2: cut here
+            kind = np.array([0 if not x or x[0].isspace() or x[-1].isspace() else 2 if max(x) < plain and not special(x) else 1 for x in own])
+        if len(some := np.flatnonzero(kind == 2)):
+            found[some] = len(self.start) + np.arange(len(some))
+            self._cut([own[k] for k in some.tolist()])
+        if len(some := np.flatnonzero(kind == 1)):
+            found[some] = len(self.start) + np.arange(len(some))
+            self._add([self.encode(" " + own[k]) for k in some.tolist()])
+        self.number.update(zip(own, found.tolist(), strict=True))
+        numbers[new] = found
+        return numbers
+
+    def _cut(self, runs: list[str]) -> None:
+        """Adds runs of plain characters. Behind a space each, they are cut in one go; just their first pieces begin with one."""
+        coded = pa.array(self.cut(" " + " ".join(runs)), pa.string()).dictionary_encode()
+        of = coded.indices.to_numpy()
+        flat, size, head = self.merges(coded.dictionary)
+        start = np.cumsum(size) - size
+        ids = np.add.reduceat(size[of], np.flatnonzero(head[of]))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(ids) - ids])
+        self.length = np.concatenate([self.length, ids])
+        self.flat = np.concatenate([self.flat, flat[_ranges(start[of], size[of])]])
+
+    def _add(self, found: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.length = np.concatenate([self.length, sizes])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column (null: empty) one after another, ``end`` behind each, and how many each has."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if not self.cuts:
+            whole = [self.encode(t or "") + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(whole), "<u4"), np.fromiter(map(len, whole), np.int64, len(whole)) // 4
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        runs, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        at = first[:-1] - first[0]
+        numbers = self._numbers(runs)[of]
+        begins = [runs[k] for k in of[at].tolist()]
+        # a text is encoded whole if a run behind its first one asks for it, or the first one ends in white space and others follow
+        numbers[at] = 0
+        several = np.diff(first) > 1
+        odd = np.add.reduceat(numbers == -1, at) > 0
+        odd |= several & np.fromiter((not x or x[-1].isspace() for x in begins), bool, len(begins))
+        kept = len(self.flat), len(self.start)
+        numbers[np.repeat(odd, np.diff(first))] = 0
+        numbers[at] = len(self.start) + np.arange(len(at))
+        # the first run of each text, or all of it, and the end are numbered for this batch only
+        self._add([*(self.encode(texts[k].as_py() if o else x) for k, (x, o) in enumerate(zip(begins, odd.tolist(), strict=True))), end])
+        numbers = np.insert(numbers, np.append(at[1:], len(numbers)), len(self.start) - 1)
+        size, start = self.length[numbers], self.start[numbers]
+        ids, sizes = self.flat[_ranges(start, size)], np.add.reduceat(size, at + np.arange(len(at)))
+        self.flat, self.start, self.length = self.flat[: kept[0]], self.start[: kept[1]], self.length[: kept[1]]
+        return ids, sizes
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not self.cuts or rest and (not first or first[-1].isspace()):
-            return self.encode(text)
-        parts = list(map(self.runs.__getitem__, rest))
-        return self.encode(text) if None in parts else b"".join([self.encode(first), *parts])
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 def byte_letters() -> dict[int, int]:
@@ -331,12 +503,12 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
 
         def flush(least: int):
             nonlocal buffer, held
-            raw = np.frombuffer(b"".join(buffer), "<u4")
+            raw = np.concatenate(buffer)
             at = 0
             while len(raw) - at >= least and len(raw) > at:
                 out.write(encode_block(raw[at : at + BLOCK], vocabulary))
                 at += BLOCK
-            buffer, held = [raw[at:].tobytes()], max(0, len(raw) - at)
+            buffer, held = [raw[at:].copy()], max(0, len(raw) - at)
 
         for b in batches:
             if out is None:
@@ -344,14 +516,13 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
                 fs.create_dir(path, recursive=True)
                 out = fs.open_output_stream(own := f"{path}/.part-{part:06d}-{uuid.uuid4().hex}")
                 out.write(MAGIC)
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = encoder(t or "") + end
-                buffer.append(x)
-                held += len(x) // 4
-                ids.append(i)
-                sizes.append(len(x) // 4)
-                if held >= BLOCK:
-                    flush(BLOCK)
+            x, n = encoder.batch(b.column(1), end)
+            buffer.append(x)
+            held += len(x)
+            ids += b.column(0).to_pylist()
+            sizes += n.tolist()
+            if held >= BLOCK:
+                flush(BLOCK)
         encoder.forget()
         if out is not None:
             flush(1)

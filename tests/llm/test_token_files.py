@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -66,3 +67,49 @@ def test_documents_over_blocks(spark, tmp_path, monkeypatch):
     files = K.write_files(frame(spark, [" ".join(["word"] * n) for n in parts]).coalesce(1), K.tokenizer_path(), str(tmp_path / "out"))
     seen = [(i, len(x)) for f in sorted(r.file for r in files.collect()) for i, _, x in K.read_file(f)]
     assert [n for _, n in seen] == [n + 1 for n in parts] and [i for i, _ in seen] == list(range(len(parts))), name
+
+
+def hard_texts(seed, n=300):
+    """Texts whose runs are cut in every way: letters, digits, marks, contractions, white space of all kinds, other alphabets."""
+    r = random.Random(seed)
+    parts = ["a", "the", "running", "'s", "'ll", "12", "2026", ".", ",", "!?", "é", "ß", "Ünï", "\n", "\n\n", "\t", " ", "\x1c", "\x85", " ", "  ", "日本", "ɐ", "ǅ", "<|endoftext|>", "-" * 30, "q" * 300, "xyzzyx" * 60, "_", "😀", "\x00"]
+    return ["".join(r.choice(parts) + r.choice(["", "", " "]) for _ in range(r.randrange(12))) for _ in range(n)]
+
+
+def test_a_batch_gives_the_ids_of_each_of_its_texts(library, monkeypatch):
+    encode = K.Encoder(K.tokenizer_path())
+    assert encode.cuts
+    texts = TEXTS + hard_texts(1)
+    wanted = [library(t) + [2] for t in texts]
+    for least in (K.CACHE, 5):  # what is kept may go between batches
+        monkeypatch.setattr(K, "CACHE", least)
+        for size in (1, 7, len(texts)):
+            for k in range(0, len(texts), size):
+                ids, sizes = encode.batch(pa.array(["before", *texts[k : k + size]], pa.string())[1:], np.array([2], "<u4").tobytes())
+                assert sizes.tolist() == [len(x) for x in wanted[k : k + size]]
+                assert ids.tolist() == [i for x in wanted[k : k + size] for i in x]
+    assert encode.batch(pa.array([], pa.string()))[0].tolist() == []
+    encode.forget()
+    assert len(encode.number) == 1 and not len(encode.flat)
+
+
+def test_merges_side_by_side_are_those_of_the_library(library):
+    """Random letters join in long chains; all lengths, above and below the longest that stands in columns."""
+    merges, r = K.Encoder(K.tokenizer_path()).merges, random.Random(2)
+    pieces = ["".join(r.choice("aeinrst") for _ in range(r.randrange(1, 40))) for _ in range(2000)] + ["e" * n for n in (1, 2, 3, 254, 255, 256, 257, 900)] + [" in" + "the" * 150]
+    flat, sizes, head = merges(pa.array(pieces, pa.string()))
+    assert np.split(flat, np.cumsum(sizes)[:-1])[-1].tolist() == library(pieces[-1])
+    assert flat.tolist() == [i for p in pieces for i in library(p)] and head.tolist() == [p[0] == " " for p in pieces]
+
+
+def test_new_words_are_not_tokenized_one_by_one(monkeypatch):
+    """A batch of new words, whose ids took a call of the library each: none is left."""
+    encode = K.Encoder(K.tokenizer_path())
+
+    def refused(*_):
+        raise AssertionError("a call for one word")
+
+    monkeypatch.setattr(encode, "encode", refused)
+    words = [f"w{k:x},ünd{k}." for k in range(3000)]
+    numbers = encode._numbers(words)
+    assert len(set(numbers.tolist())) == len(words) and numbers.min() > 0
