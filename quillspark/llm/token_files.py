@@ -5,12 +5,15 @@ to ``BLOCK`` ids and is coded from an empty model, so that it can be read alone;
 lanes of consecutive ids are coded side by side, one id of each lane a step, and share the model, which learns after each step:
 
 * order 2 and order 1: the id last seen after the two ids (the one id) before, with a confidence from 0 to 3;
-* a first symbol says which of the two was right, or neither. Its frequencies mix, by integer weights, the counts under
+* a first part says which of the two was right, or neither. Its frequencies mix, by integer weights, the counts under
   both confidences with those under either one;
-* order 0: an id that neither foresaw is coded by the adaptive frequencies of all such ids.
+* order 0: an id that neither foresaw is coded by the adaptive frequencies of all such ids, which are set anew after each of
+  the first steps, then after every fourth.
 
-All arithmetic is on integers, so that files read the same on any machine. The range coder keeps 48 bits a lane, gives out
-16 at a time, and never carries: a range that gets too small across a boundary is cut at it.
+All arithmetic is on integers, so that files read the same on any machine. Frequencies are brought to powers of two as their
+sum, and both parts of an id make one interval, so that a step of all lanes is coded at once and without a division. The range
+coder keeps 64 bits a lane and gives out 16 at a time; carries go to the words before, once a block's words are known. A block has
+the first words of all lanes, then the others in the order in which a reader of all lanes asks for them.
 
 Files are written under a name of the attempt and renamed when whole, so that repeated or lost tasks leave one good file.
 Null and empty texts are just the end id. Documents come in ascending id (null first), rows that repeat an id in
@@ -38,124 +41,154 @@ from pyspark.sql import functions as F
 
 from .common import checked, in_arrow, read, shared_dir, written
 
-MAGIC, BLOCK, LANES, LANE_IDS, END_ID, CACHE = b"QTOK0001", 1 << 21, 1 << 14, 128, 2, 300_000
-LOW48, TOP, SMALL = np.uint64((1 << 48) - 1), np.uint64(32), np.uint64(1 << 28)
+MAGIC, BLOCK, LANES, LANE_IDS, END_ID, CACHE = b"QTOK0002", 1 << 21, 1 << 14, 128, 2, 300_000
+ALL, TOP, SMALL, FIRST = ~np.uint64(0), np.uint64(48), np.uint64(1 << 48), 4  # FIRST: words that fill a register
 S16, ID_MASK, NONE = np.uint64(16), np.uint32((1 << 20) - 1), np.uint32((1 << 20) - 1)
-HEAD = struct.Struct("<IIIIII")  # ids, crc32, lanes, ids of a lane, words of code, size of the vocabulary
+HEAD = struct.Struct("<IIIIII")  # ids, crc32, lanes, ids of a lane, words behind the first ones, size of the vocabulary
 
 
 class Model:
     """Shared by the lanes of a block; coder and reader make the same calls in the same order."""
 
-    HASH = 1 << 20
+    HASH, WHICH, BUCKETS = 20, 12, 15  # bits: of slots, of the first part's frequencies, of places where the search of an id begins
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.two = np.full(self.HASH, NONE, np.uint32)
+    def __init__(self, vocabulary: int, lanes: int, ids: int):
+        self.two = np.full(1 << self.HASH, NONE, np.uint32)
         self.one = np.full(vocabulary + 1, NONE, np.uint32)
         self.zero = np.ones(vocabulary, np.int64)
-        self.cum = np.arange(vocabulary + 1, dtype=np.int64)
+        self.bits = (vocabulary + 2 * ids).bit_length()  # no frequency gets 0
+        self.total = np.uint64(self.WHICH + self.bits)
         self.right = np.zeros((32, 3), np.int64)
-        self.a = np.full(lanes, vocabulary, np.int64)
         self.b = np.full(lanes, vocabulary, np.int64)
-
-    def foresee(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: the ids of order 2 and 1, and cumulated frequencies of {order 2, order 1, neither}, four
-        numbers (from 0 to the total) for each case one after another."""
-        self.a, self.b = self.a[:n], self.b[:n]
-        self.slot = (self.a * 0x9E3779B1 + self.b * 0x85EBCA6B >> 7) & (self.HASH - 1)
-        two, one = self.two[self.slot], self.one[self.b]
-        self.p2, self.p1 = two & ID_MASK, one & ID_MASK
-        self.c2, self.c1 = two >> 20, one >> 20
-        self.case = (self.c2 * 8 + self.c1 * 2 + (self.p2 == self.p1)).astype(np.int64)
+        self.a = np.zeros(lanes, np.uint32)
+        # of each id where its interval starts and how wide it is, and last an entry for none: all there is
+        self.start, self.width = np.zeros(vocabulary + 1, np.uint64), np.full(vocabulary + 1, 1 << self.bits, np.uint64)
+        self.vocabulary, self.steps = vocabulary, 0
+        self._spread()
+
+    def _spread(self) -> None:
+        ends = np.cumsum(self.zero)
+        self.ends = (ends << self.bits) // ends[-1]
+        self.start[1:-1] = self.ends[:-1]
+        self.width[:-1] = np.diff(self.ends, prepend=0)
+        self.from_ = None
+
+    def foresee(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the first n lanes: the ids of order 2 and 1, and for each case one after another (four numbers each) where the
+        intervals of {order 2, order 1, neither} start, in units of all parts, and how wide they are, in units of the first."""
+        self.b, a = self.b[:n], self.a[:n]
+        b = self.b.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.slot = (a + b >> np.uint32(32 - self.HASH)).astype(np.int64)
+        self.a = b * np.uint32(0x9E3779B1)
+        self.of2, self.of1 = self.two.take(self.slot), self.one.take(self.b)
+        self.p2, self.p1 = self.of2 & ID_MASK, self.of1 & ID_MASK
+        self.case = ((self.of2 >> 20 << 3) + (self.of1 >> 20 << 1) + (self.p2 == self.p1)).astype(np.int64) * 4
         by = self.right.reshape(4, 4, 2, 3)
-        mixed = 8 * by + 2 * by.sum((1, 2))[:, None, None] + by.sum((0, 2))[None, :, None] + 1
-        cum = np.zeros((32, 4), np.uint64)
-        np.cumsum(mixed.reshape(32, 3), axis=1, out=cum[:, 1:])
-        return self.p2, self.p1, cum.reshape(-1)
-
-    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        self.right += np.bincount(self.case * 3 + which, minlength=96).reshape(32, 3)
+        mixed = (8 * by + 2 * by.sum((1, 2))[:, None, None] + by.sum((0, 2))[None, :, None] + 1).reshape(32, 3)
+        at, size = np.zeros((32, 4), np.int64), np.zeros((32, 4), np.uint64)
+        at[:, 1:] = np.cumsum(mixed, 1) * ((1 << self.WHICH) - 3) // mixed.sum(1)[:, None] + (1, 2, 3)
+        size[:, :3] = np.diff(at)
+        return self.p2, self.p1, (at << self.bits).astype(np.uint64).reshape(-1), size.reshape(-1)
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the numbers v are. For most it is the one at the beginning of their bucket; others are searched."""
+        shift = max(0, self.bits - self.BUCKETS)
+        if self.from_ is None:
+            last = np.zeros((1 << self.BUCKETS) + 1, np.int64)
+            last[(self.ends[:-1] >> shift) + 1] = np.arange(1, len(self.ends))  # of those that start in a bucket, the last stays
+            self.from_ = np.maximum.accumulate(last)
+        x = self.from_.take(v >> shift)
+        if len(more := np.flatnonzero(self.ends.take(x) <= v)):
+            w = v[more]
+            by = np.argsort(w)  # a search for ascending values stays within the cache
+            x[more[by]] = np.searchsorted(self.ends, w[by], side="right")
+        return x
+
+    def learn(self, ids: np.ndarray, which: np.ndarray, new: np.ndarray) -> None:
+        """``new``: numbers of the lanes whose id neither order foresaw."""
+        self.right += np.bincount(self.case + which, minlength=128).reshape(32, 4)[:, :3]
         self.right[self.right.sum(1) > 1 << 15] >>= 1
-        new = ids[which == 2]
-        if len(new):
-            self.zero += 2 * np.bincount(new, minlength=len(self.zero))
-            np.cumsum(self.zero, out=self.cum[1:])
+        np.add.at(self.zero, ids.take(new), 2)
+        self.steps += 1
+        if self.steps < 16 or self.steps % 4 == 0:
+            self._spread()
         u = ids.astype(np.uint32)
-        for table, slot, p, c in ((self.two, self.slot, self.p2, self.c2), (self.one, self.b, self.p1, self.c1)):
-            hit = p == u
-            keep = hit | (c > 1)
-            table[slot] = np.where(keep, p, u) | (np.where(hit, np.minimum(c + 1, 3), np.where(c > 1, c - 1, 0)) << 20)
-        self.a, self.b = self.b, ids
-
-
-def settled(low: np.ndarray, range_: np.ndarray, among: np.ndarray | None) -> np.ndarray:
-    """Which lanes (of ``among``) give out 16 bits: those whose top bits can't change, and those cut as their range is small."""
-    l, g = (low, range_) if among is None else (low[among], range_[among])
-    same = (l ^ (l + g - np.uint64(1))) >> TOP == 0
-    small = g < SMALL
-    small &= ~same
-    if small.any():
-        k = np.flatnonzero(small) if among is None else among[small]
-        range_[k] = (np.uint64(1) << TOP) - (low[k] & np.uint64((1 << 32) - 1))
-        same |= small
-    return np.flatnonzero(same) if among is None else among[same]
+        for table, slot, entry, p in ((self.two, self.slot, self.of2, self.p2), (self.one, self.b, self.of1, self.p1)):
+            c, hit = entry >> 20, p == u
+            sure = c > 1
+            more = (hit & (c < 3)).astype(np.uint32)
+            more -= sure & ~hit
+            table[slot] = u + (hit | sure) * (entry + (more << 20) - u)  # where neither, the new id without confidence
+        self.b = ids
 
 
 class Coder:
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, LOW48)
-        self.lanes, self.words = [], []
-
-    def put(self, on: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """``on``: numbers of lanes."""
-        r = self.range[on] // total
-        low, range_ = self.low[on] + start * r, r * size
-        at = settled(low, range_, None)
+        self.low, self.range, self.carry = np.zeros(lanes, np.uint64), np.full(lanes, ALL), np.zeros(lanes, bool)
+        self.lanes, self.words, self.carries = [], [], []
+
+    def put(self, start: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
+        """For the first lanes, one interval each, of ``2**bits`` in all."""
+        low, range_, carry = (x[: len(start)] for x in (self.low, self.range, self.carry))
+        range_ >>= bits
+        more = start * range_
+        low += more
+        carry |= low < more
+        range_ *= size
+        at = np.flatnonzero(range_ < SMALL)
         while len(at):
-            l = low[at]
-            self.lanes.append(on[at].astype(np.uint16))
-            self.words.append((l >> TOP).astype(np.uint16))
-            low[at] = (l << S16) & LOW48
-            range_[at] <<= S16
-            at = settled(low, range_, at)
-        self.low[on], self.range[on] = low, range_
-
-    def bytes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words of the lanes, and their words lane by lane."""
-        n = len(self.low)
-        for shift in (32, 16, 0):
-            self.lanes.append(np.arange(n).astype(np.uint16))
-            self.words.append((self.low >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16))
-        lanes, words = np.concatenate(self.lanes), np.concatenate(self.words)
-        return np.bincount(lanes, minlength=n), words[np.argsort(lanes, kind="stable")]
+            self._out(at)
+            range_[at] = g = range_[at] << S16
+            at = at[g < SMALL]
+
+    def _out(self, at: np.ndarray) -> None:
+        l = self.low[at]
+        self.lanes.append(at.astype(np.uint16))
+        self.words.append((l >> TOP).astype(np.uint16))
+        self.carries.append(self.carry[at])  # belongs to the word before
+        self.low[at], self.carry[at] = l << S16, False
+
+    def words_by_lane(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends the code: all words lane by lane, how many each lane has, and as the how manieth each was given out."""
+        for _ in range(FIRST):
+            self._out(np.arange(len(self.low)))
+        lanes = np.concatenate(self.lanes)
+        by = np.argsort(lanes, kind="stable")
+        words = np.concatenate(self.words)[by].astype(np.int32)
+        words[:-1] += np.concatenate(self.carries)[by[1:]]
+        while len(over := np.flatnonzero(words >> 16)):
+            words[over] -= 1 << 16
+            words[over - 1] += 1
+        return words, np.bincount(lanes, minlength=len(self.low)), by
+
+    def words_as_read(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of all lanes, and the others: a reader takes one whenever the coder gave one out, but is ``FIRST`` ahead."""
+        words, counts, by = self.words_by_lane()
+        first = words[(np.cumsum(counts) - counts)[:, None] + np.arange(FIRST)]
+        others = np.empty(len(words), np.uint16)
+        others[by[:-FIRST]] = words[FIRST:]
+        return first, others[: len(words) - first.size]
 
 
 class Decoder:
-    def __init__(self, counts: np.ndarray, words: np.ndarray):
-        n = len(counts)
-        self.words, self.at = words.astype(np.uint64), np.cumsum(counts) - counts
-        self.low, self.range, self.code = np.zeros(n, np.uint64), np.full(n, LOW48), np.zeros(n, np.uint64)
-        for _ in range(3):
-            self.code = (self.code << S16) | self.words[self.at]
-            self.at += 1
-
-    def value(self, on: np.ndarray, total: np.ndarray) -> np.ndarray:
-        self.r = self.range[on] // total
-        return np.minimum((self.code[on] - self.low[on]) // self.r, total - np.uint64(1))
-
-    def take(self, on: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, range_ = self.low[on] + start * self.r, self.r * size
-        code = self.code[on]
-        at = settled(low, range_, None)
+    def __init__(self, first: np.ndarray, others: np.ndarray):
+        self.code, self.range, self.others, self.at = np.zeros(len(first), np.uint64), np.full(len(first), ALL), others.astype(np.uint64), 0
+        for k in range(FIRST):
+            self.code = self.code << S16 | first[:, k].astype(np.uint64)
+
+    def lanes(self, n: int, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Code and range of the first n lanes, to be narrowed in place; the ranges are in parts of ``2**bits``."""
+        self.code, self.range = self.code[:n], self.range[:n]
+        self.range >>= bits
+        return self.code, self.range
+
+    def refill(self) -> None:
+        at = np.flatnonzero(self.range < SMALL)
         while len(at):
-            lane = on[at]
-            place = self.at[lane]
-            code[at] = (code[at] << S16) & LOW48 | self.words[place]
-            self.at[lane] = place + 1
-            low[at] = (low[at] << S16) & LOW48
-            range_[at] <<= S16
-            at = settled(low, range_, at)
-        self.low[on], self.range[on], self.code[on] = low, range_, code
+            self.code[at] = self.code[at] << S16 | self.others[self.at : self.at + len(at)]
+            self.at += len(at)
+            self.range[at] = g = self.range[at] << S16
+            at = at[g < SMALL]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -170,50 +203,42 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.zeros((lanes, steps), np.int64)
     grid.reshape(-1)[: len(ids)] = ids
     full = len(ids) - (lanes - 1) * steps  # ids of the last lane
-    model, coder, every = Model(vocabulary, lanes), Coder(lanes), np.arange(lanes)
-    u = lambda x: x.astype(np.uint64)
+    model, coder = Model(vocabulary, lanes, len(ids)), Coder(lanes)
     for t, row in enumerate(np.ascontiguousarray(grid.T)):
-        n = lanes if t < full else lanes - 1
-        row, on = row[:n], every[:n]
-        p2, p1, cum = model.foresee(n)
-        which = np.where(p2 == row, 0, np.where(p1 == row, 1, 2))
-        k = model.case * 4
-        start = cum.take(k + which)
-        coder.put(on, start, cum.take(k + which + 1) - start, cum.take(k + 3))
-        if len(new := np.flatnonzero(which == 2)):
-            x = row[new]
-            coder.put(new, u(model.cum[x]), u(model.zero[x]), np.full(len(new), model.cum[-1], np.uint64))
-        model.learn(row, which)
-    counts, words = coder.bytes()
+        row = row[: lanes if t < full else lanes - 1]  # noqa: PLW2901
+        p2, p1, start, size = model.foresee(len(row))
+        which = (p2 != row).view(np.uint8) * (2 - (p1 == row).view(np.uint8))
+        neither = which == 2
+        k, x = model.case + which, vocabulary + (row - vocabulary) * neither
+        size = size.take(k)
+        coder.put(start.take(k) + size * model.start.take(x), size * model.width.take(x), model.total)
+        model.learn(row, which, np.flatnonzero(neither))
+    first, others = coder.words_as_read()
     raw = ids.astype("<u4").tobytes()
-    return HEAD.pack(len(ids), zlib.crc32(raw), lanes, steps, len(words), vocabulary) + counts.astype("<u2").tobytes() + words.astype("<u2").tobytes()
+    return HEAD.pack(len(ids), zlib.crc32(raw), lanes, steps, len(others), vocabulary) + first.astype("<u2").tobytes() + others.astype("<u2").tobytes()
 
 
 def decode_block(read) -> np.ndarray:
     """``read(n)`` gives the next n bytes. Raises ValueError where the checksum doesn't hold."""
     n, crc, lanes, steps, size, vocabulary = HEAD.unpack(read(HEAD.size))
-    counts = np.frombuffer(read(2 * lanes), "<u2").astype(np.int64)
-    decoder, model, every = Decoder(counts, np.frombuffer(read(2 * size), "<u2")), Model(vocabulary, lanes), np.arange(lanes)
-    grid, full = np.zeros((steps, lanes), np.int64), n - (lanes - 1) * steps
-    u = lambda x: x.astype(np.uint64)
+    first = np.frombuffer(read(2 * FIRST * lanes), "<u2").reshape(lanes, FIRST)
+    decoder, model = Decoder(first, np.frombuffer(read(2 * size), "<u2")), Model(vocabulary, lanes, n)
+    grid, full, most = np.zeros((steps, lanes), np.int64), n - (lanes - 1) * steps, np.uint64((1 << model.bits) - 1)
     for t in range(steps):
         m = lanes if t < full else lanes - 1
-        on = every[:m]
-        p2, p1, cum = model.foresee(m)
-        k = model.case * 4
-        v = decoder.value(on, cum.take(k + 3))
-        which = (v >= cum.take(k + 1)).astype(np.int64) + (v >= cum.take(k + 2))
-        start = cum.take(k + which)
-        decoder.take(on, start, cum.take(k + which + 1) - start)
-        row = np.where(which == 0, p2, p1).astype(np.int64)
+        p2, p1, start, size = model.foresee(m)
+        code, range_ = decoder.lanes(m, model.total)
+        which = (code >= start.take(model.case + 1) * range_).view(np.uint8) + (code >= start.take(model.case + 2) * range_)
+        k = model.case + which
+        code -= start.take(k) * range_
+        range_ *= size.take(k)
+        row, x = (p1 + (which == 0) * (p2 - p1)).astype(np.int64), np.full(m, vocabulary)
         if len(new := np.flatnonzero(which == 2)):
-            v = decoder.value(new, np.full(len(new), model.cum[-1], np.uint64)).astype(np.int64)
-            by = np.argsort(v)  # a search for ascending values stays within the cache
-            x = np.empty(len(v), np.int64)
-            x[by] = np.searchsorted(model.cum, v[by], side="right") - 1
-            decoder.take(new, u(model.cum[x]), u(model.zero[x]))
-            row[new] = x
-        model.learn(row, which)
+            x[new] = row[new] = model.find(np.minimum(code[new] // range_[new], most).astype(np.int64))
+        code -= model.start.take(x) * range_
+        range_ *= model.width.take(x)
+        decoder.refill()
+        model.learn(row, which, new)
         grid[t, :m] = row
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
@@ -367,8 +392,7 @@ class Encoder:
     This holds for byte-level files without a normalizer; with any other file whole texts go to the library."""
 
     PLAIN = "\u0250"
-    #: A run, among runs that stand between spaces, that is empty or has white space at an end.
-    SPACED = staticmethod(re.compile(r"(?:\A|\x20)(?:\x20|[^\S\x20]|\Z)|[^\S\x20](?:\x20|\Z)").search)
+    LEAD = PLAIN.encode()[0]  # no byte of text reaches it: all characters are plain
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -404,13 +428,14 @@ class Encoder:
             return numbers
         own, plain, special = [runs[k] for k in new.tolist()], self.PLAIN, self.special
         found, together = np.full(len(own), -1), " ".join(own)
-        if max(together) < plain and not special(together) and not self.SPACED(together):
+        if np.frombuffer(together.encode(), np.uint8).max(initial=0) < self.LEAD and not special(together) and "" not in own and own == [*map(str.strip, own)]:
             kind = np.full(len(own), 2)
         else:  # 0: asks for its whole text, 1: by the library, 2: cut here
             kind = np.array([0 if not x or x[0].isspace() or x[-1].isspace() else 2 if max(x) < plain and not special(x) else 1 for x in own])
-        if len(some := np.flatnonzero(kind == 2)):
+        kind[(kind == 2) & np.fromiter(map(str.isalpha, own), bool, len(own))] = 3  # letters alone are one piece
+        if len(some := np.append(letters := np.flatnonzero(kind == 3), np.flatnonzero(kind == 2))):
             found[some] = len(self.start) + np.arange(len(some))
-            self._cut([own[k] for k in some.tolist()])
+            self._cut([own[k] for k in some.tolist()], len(letters))
         if len(some := np.flatnonzero(kind == 1)):
             found[some] = len(self.start) + np.arange(len(some))
             self._add([self.encode(" " + own[k]) for k in some.tolist()])
@@ -418,9 +443,13 @@ class Encoder:
         numbers[new] = found
         return numbers
 
-    def _cut(self, runs: list[str]) -> None:
-        """Adds runs of plain characters. Behind a space each, they are cut in one go; just their first pieces begin with one."""
-        coded = pa.array(self.cut(" " + " ".join(runs)), pa.string()).dictionary_encode()
+    def _cut(self, runs: list[str], letters: int) -> None:
+        """Adds runs of plain characters, the first ``letters`` of letters alone. Behind a space each, the others are cut in one go;
+        just the first pieces of runs begin with one."""
+        pieces = [" " + x for x in runs[:letters]]
+        if len(runs) > letters:
+            pieces += self.cut(" " + " ".join(runs[letters:]))
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
         of = coded.indices.to_numpy()
         flat, size, head = self.merges(coded.dictionary)
         start = np.cumsum(size) - size
@@ -470,6 +499,7 @@ class Encoder:
         return self.batch(pa.array([text], pa.string()))[0].tobytes()
 
 
+@functools.cache
 def byte_letters() -> dict[int, int]:
     """Byte-level vocabularies write each byte as a visible letter: itself, or the next free one from 256 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -113,3 +113,49 @@ def test_new_words_are_not_tokenized_one_by_one(monkeypatch):
     words = [f"w{k:x},ünd{k}." for k in range(3000)]
     numbers = encode._numbers(words)
     assert len(set(numbers.tolist())) == len(words) and numbers.min() > 0
+
+
+def test_a_step_of_all_lanes_is_coded_at_once(monkeypatch):
+    """The two parts of an id took a call of the coder each."""
+    calls, put = [], K.Coder.put
+    monkeypatch.setattr(K.Coder, "put", lambda self, *a: calls.append(1) or put(self, *a))
+    ids = np.minimum(np.random.default_rng(3).zipf(1.2, 128 * 300), 49999).astype(np.uint32)
+    K.encode_block(ids, 50257)
+    assert len(calls) == 128
+
+
+def test_few_ids_are_searched_in_reading(monkeypatch):
+    """Each id that no order foresaw was searched among the vocabulary."""
+    ids, searched, search = np.minimum(np.random.default_rng(4).zipf(1.2, 128 * 300), 49999).astype(np.uint32), [], np.searchsorted
+    block = K.encode_block(ids, 50257)
+    monkeypatch.setattr(K.np, "searchsorted", lambda a, v, **k: searched.append(len(v)) or search(a, v, **k))
+    assert K.decode_block(io.BytesIO(block).read).tolist() == ids.tolist()
+    assert sum(searched) < len(ids) // 4
+
+
+def test_carries_go_through_all_words_before():
+    """A lane against the same code in whole numbers of any length, by intervals around the middle, which carry late and far."""
+    r, bits, far = random.Random(5), 20, 0
+    for _ in range(300):
+        coder, low, width, given = K.Coder(1), 0, (1 << 64) - 1, 0
+        for _ in range(12):
+            start, size = r.choice([((1 << 19) - 1, 2), ((1 << 19) - 1, 2), ((1 << 20) - 1, 1), (1 << 19, 1 << 18), (0, 3), (r.randrange(1 << 19), 7)])
+            coder.put(np.array([start], np.uint64), np.array([size], np.uint64), np.uint64(bits))
+            width >>= bits
+            low, width = low + start * width, width * size
+            while width < 1 << 48:
+                low, width, given = low << 16, width << 16, given + 1
+        words, counts, _ = coder.words_by_lane()
+        far += np.concatenate(coder.carries).any()
+        assert counts.tolist() == [given + 4] and int.from_bytes(words.astype(">u2").tobytes()) == low
+    assert far > 20
+
+
+def test_letters_alone_are_not_cut(library, monkeypatch):
+    """Runs of letters went through the pattern, as all others."""
+    encode, seen = K.Encoder(K.tokenizer_path()), []
+    cut = encode.cut
+    monkeypatch.setattr(encode, "cut", lambda s: seen.append(s) or cut(s))
+    text = "start Ünder ªº straße, don't ʼn xyz12 ǅungle sch\u00adön ƻ ǃ a"
+    assert encode.batch(pa.array([text]))[0].tolist() == library(text)
+    assert "".join(seen).split() == ["straße,", "don't", "xyz12", "sch\u00adön"]
