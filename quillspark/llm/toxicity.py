@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, arrow_table, crc_fold, free_name, in_arrow, read, texts_of
+from .common import WORD_TABLE, arrow_table, crc_fold, free_name, give_back, in_arrow, read, texts_of
 
 PER_CLASS, NEIGHBOURS, BLOCK, FIRST, OFTEN, FLOOR, SURE, THRESHOLD, GROUP, WORDS, SLICE = 1500, 31, 128, 2, 0.07, 0.05, 25.0, 0.7, 32, 200_000, 512
 
@@ -47,7 +47,7 @@ def like_order(rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: i
     """An order of the vectors in which like ones stand together: parted again and again at the middle of their main direction."""
     sizes = np.array([len(t) for t, _ in rows], np.int64)
     start = np.cumsum(sizes) - sizes
-    terms, weights = (np.concatenate([np.empty(0, k), *(r[i] for r in rows)]) for i, k in ((0, np.int64), (1, np.float64)))
+    terms, weights = (np.concatenate([np.empty(0, k), *(r[i] for r in rows)]) for i, k in ((0, np.int32), (1, np.float64)))
     out, todo = [], [np.arange(len(rows))]
     while todo:
         part = todo.pop()
@@ -75,9 +75,9 @@ class BlockMaxIndex:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.size, self.block, self.n_blocks = len(rows), block, max(1, -(-len(rows) // block))
-        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in rows)])
+        term = np.concatenate([np.empty(0, np.int32), *(t for t, _ in rows)])
         weight = np.concatenate([np.empty(0), *(w for _, w in rows)])
-        example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+        example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
         # terms of many examples as whole rows, the others as postings
         often = np.flatnonzero(np.bincount(term, minlength=n_terms) > OFTEN * len(rows))
         self.row = np.full(n_terms, -1, np.int32)
@@ -88,8 +88,9 @@ class BlockMaxIndex:
         term, weight, example = term[~full], weight[~full], example[~full]
         self.first = np.arange(0, max(1, len(rows)), block)
         by = np.lexsort((example, term))
-        term, self.weight, self.example = term[by], weight[by], example[by].astype(np.int32)
-        part = term * self.n_blocks + self.example // block
+        term, self.weight, self.example = term[by], weight[by], example[by]
+        del by, full, weight, example
+        part = term.astype(np.int64) * self.n_blocks + self.example // block
         self.start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.empty(0, np.int64)
         self.length = np.diff(np.append(self.start, len(part)))
         self.largest = np.maximum.reduceat(self.weight, self.start) if len(part) else np.empty(0)
@@ -142,7 +143,8 @@ class BlockMaxIndex:
 
 
 class Model:
-    """What ``fit`` learns. ``ids``, ``y``: the examples and their labels; ``rows``: numbers and counts of their terms in ``names``."""
+    """What ``fit`` learns. ``ids``, ``y``: the examples and their labels; ``rows``: numbers and counts of their terms in ``names``,
+    a list that is empty afterwards, as the vectors take its place in memory."""
 
     def __init__(self, ids: list, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], names: list[bytes], share: float, k: int = NEIGHBOURS):
         self.k, n = k, len(ids)
@@ -151,7 +153,7 @@ class Model:
         self.trivial = None if n0 and n1 else float(n1 > 0)
         # each example stands for as many documents as its class was thinned by
         self.mass = np.where(y == 1, share / max(n1, 1), (1 - share) / max(n0, 1)) * n
-        of = lambda label: np.bincount(np.concatenate([np.empty(0, np.int64), *(t for (t, _), v in zip(rows, y, strict=True) if v == label)]), minlength=len(names))
+        of = lambda label: np.bincount(np.concatenate([np.empty(0, np.int32), *(t for (t, _), v in zip(rows, y, strict=True) if v == label)]), minlength=len(names))
         a, b = of(1).astype(float), of(0).astype(float)
         c, d = n1 - a, n0 - b
         chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
@@ -159,6 +161,7 @@ class Model:
         self.term = {t: i for i, t in enumerate(names)}
         self.weight = (np.log((1 + n) / (1 + a + b)) + 1) * (FLOOR + sure)
         vectors = [self.weigh(t, m) for t, m in rows]
+        rows.clear()
         order = like_order(vectors, len(names))
         self.y, self.mass, self.ids, vectors = y[order], self.mass[order], [ids[i] for i in order], [vectors[i] for i in order]
         self.index = BlockMaxIndex(vectors, len(names))
@@ -291,8 +294,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: "F.Column | None" = None, per
                 tf[number.setdefault(t, len(number))] += m
         ids.append(i)
         y.append(found["y"][at].as_py())
-        rows.append((np.fromiter(tf.keys(), np.int64, len(tf)), np.fromiter(tf.values(), np.int64, len(tf))))
-    return Model(ids, np.array(y, float), rows, list(number), total.get(1, 0) / sum(total.values()))
+        rows.append((np.fromiter(tf.keys(), np.int32, len(tf)), np.fromiter(tf.values(), np.int32, len(tf))))
+    names = list(number)
+    del found, order, number
+    model = Model(ids, np.array(y, float), rows, names, total.get(1, 0) / sum(total.values()))
+    give_back()  # the driver's Python too keeps what is freed, several times the model
+    return model
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score", evidence: str | None = "evidence") -> DataFrame:
@@ -325,6 +332,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the threshold, with the columns they came with."""
-    model = fit(docs, read(spark, sf_dir, "labels"))
     name = free_name(docs, "toxicity_score")
-    return scored(docs, model, name, None).where(F.col(name) < THRESHOLD).drop(name)
+    clean = scored(docs, fit(docs, read(spark, sf_dir, "labels")), name, None).where(F.col(name) < THRESHOLD).drop(name)
+    give_back()  # the model, which the broadcast has in a file; later stages need the room
+    return clean

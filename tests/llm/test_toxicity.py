@@ -1,11 +1,14 @@
 import math
 import random
+import resource
+import tracemalloc
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity as X
+from quillspark.llm.common import give_back, read
 
 from .helpers import ODD, frame, prose, words
 
@@ -126,3 +129,32 @@ def test_stage_keeps_columns(spark, tmp_path):
     docs = frame(spark, [*texts, None]).withColumn("toxicity_score", F.lit(1))
     out = X.toxicity_stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {i for i in range(len(texts) + 1) if i % 4 or i == len(texts)}
+
+
+def test_driver_keeps_no_freed_memory(spark, sf):
+    """Learning frees several times the model's room; all of it is back with the system when the stage's plan is made."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return (int((x := f.read().split())[1]) - int(x[2])) * resource.getpagesize() / 1e6
+
+    docs = read(spark, sf, "documents")
+    give_back()
+    clean = X.toxicity_stage(spark, docs, sf)
+    held = resident()
+    give_back()
+    assert held - resident() < 3 and clean.columns == docs.columns
+
+
+def test_vectors_take_the_place_of_counts():
+    """The model's making holds the examples' terms a few times at most, and not their counts beside the vectors."""
+    r = np.random.default_rng(1)
+    rows = [(r.choice(20_000, 500, replace=False).astype(np.int32), np.ones(500, np.int32)) for _ in range(800)]
+    names, y = [b"%d" % i for i in range(20_000)], np.arange(800) % 2.0
+    tracemalloc.start()
+    try:
+        model = X.Model(list(range(800)), y, rows, names, 0.5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == [] and len(model.ids) == 800 and peak < 80 * 400_000
