@@ -64,6 +64,63 @@ def test_similar(spark):
     assert sorted((g.id, g.rank, g.ref_id, g.ratio) for g in got) == sorted(want)
 
 
+def test_ratio_is_that_of_difflib_and_gives_up_early():
+    """Exact where it reaches what is asked for, also with letters too frequent to begin a match; hopeless pairs end early."""
+    import time
+    from difflib import SequenceMatcher
+
+    from quillspark.operators.similar import PIECE, ratio, seeds, shares
+
+    r = random.Random(2)
+    for n in range(600):
+        letters = r.choice(["ab", "abc ", "aăâbcdđeêghiklmnoôơpqrstuưvxy "])
+        b = "".join(r.choices(letters, k=r.choice([0, 1, 30, 199, 200, 250])))
+        a = list(b) if n % 2 else r.choices(letters, k=r.randrange(150))
+        for _ in range(r.randrange(20) if a else 0):
+            a[r.randrange(len(a))] = r.choice(letters + "\0\U0010ffff")
+        a, floor = "".join(a), r.choice([0, 0.3, 0.45, 0.8])
+        want = SequenceMatcher(None, a, b).ratio()
+        assert ratio(a, b, seeds(b), floor) == want if want >= floor else ratio(a, b, seeds(b), floor) in (0.0, want)
+        least = r.randrange(3, 20)
+        pieces = {a[i : i + PIECE] for i in range(len(a) - PIECE + 1)}
+        assert shares(a, pieces, b, least) == (least < PIECE or any(b[i : i + least] in a for i in range(len(b) - least + 1)))
+    text = lambda k: "".join(r.choices("aăâbcdđeêghiklmnoôơpqrstuưvxy ", k=k))
+    pairs = [(text(400), text(190)) for _ in range(60)]
+    began = time.perf_counter()
+    for a, b in pairs:
+        assert ratio(a, b, b, 0.45) == 0.0
+    mine, began = time.perf_counter() - began, time.perf_counter()
+    assert all(SequenceMatcher(None, a, b).ratio() < 0.45 for a, b in pairs)
+    assert mine < time.perf_counter() - began
+
+
+def test_similar_with_long_summaries_and_small_blocks(spark, monkeypatch):
+    """As plain difflib, with ties over blocks and summaries of 200 letters or more, which have too frequent letters."""
+    from difflib import SequenceMatcher
+
+    from quillspark.operators import similar as module
+
+    monkeypatch.setattr(module, "BLOCK", 5)
+    r = random.Random(4)
+    words = ["".join(r.choices("aăâbcdđeêghiklmnoôơpqrstuưvxy", k=r.randrange(1, 8))) for _ in range(60)]
+    refs = [(k, f"r{k}", " ".join(r.choices(words, k=r.choice([10, 40, 70])))) for k in range(16)]
+    refs += [(k, f"r{k}", refs[k - 16][2]) for k in range(16, 24)]
+
+    def near(t):
+        w = t.split()
+        for _ in range(r.randrange(12)):
+            w[r.randrange(len(w))] = r.choice(words)
+        return " ".join(w)
+
+    docs = [(k, near(refs[k % 16][2])) for k in range(32)]
+    got = similar(spark.createDataFrame(docs, "id int, s string"), spark.createDataFrame(refs, "ord int, id string, summary string"), "id", "s").collect()
+    want = []
+    for k, s in docs:
+        found = sorted(((SequenceMatcher(None, s, v).ratio(), -o, i) for o, i, v in refs), reverse=True)
+        want += [(k, n, i, x) for n, (x, _, i) in enumerate([f for f in found if f[0] >= 0.45][:3], 1)]
+    assert sorted((g.id, g.rank, g.ref_id, g.ratio) for g in got) == sorted(want)
+
+
 def test_sinks(spark, tmp_path):
     rows = ds.catalogue(ds.with_dossier_totals(facts(spark, "1/a.pdf", "1/b<&.pdf")))
     out = sinks.write_xlsx(rows, tmp_path / "x" / "k.txt", order=["Số hồ sơ", "STT"])
