@@ -272,9 +272,17 @@ def _compositions() -> list[str]:
 
 def composed(s: Column) -> Column:
     """TX-18 for Vietnamese letters, without Python: marks that stand behind their letter become one with it."""
-    pairs = F.split(F.lit(" ".join(_compositions())), " ")
-    step = lambda acc, p: F.replace(acc, F.substring(p, 1, 2), F.substring(p, 3, 1))
-    return let(s, lambda x: F.when(x.rlike(f"[{MARKS}]"), F.aggregate(pairs, x, step)).otherwise(x))
+
+    def step(x: Column, made: list[str]) -> Column:
+        """Only the pairs that are there are replaced; those of one step don't meet."""
+        whole = F.create_map(*(F.lit(v) for p in made for v in (p[:2], p[2])))
+        there = F.array_distinct(F.regexp_extract_all(x, F.lit("[" + "".join({p[0] for p in made}) + f"][{MARKS}]"), F.lit(0)))
+        return F.aggregate(there, x, lambda acc, p: F.coalesce(F.replace(acc, p, F.try_element_at(whole, p)), acc))
+
+    first = [p for p in _compositions() if p[0].isascii()]
+    second = [p for p in _compositions() if not p[0].isascii()]
+    twice = lambda x: let(step(x, first), lambda y: F.when(y.rlike(f"[{MARKS}]"), step(y, second)).otherwise(y))
+    return let(s, lambda x: F.when(x.rlike(f"[{MARKS}]"), twice(x)).otherwise(x))
 
 
 def nfc(s: Column) -> Column:
