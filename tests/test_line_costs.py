@@ -55,3 +55,25 @@ def test_dates_need_four_digits_and_stop_at_the_first(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>")
     assert [r.d for r in df.orderBy("k").select(ex.date(F.col("l")).alias("d")).collect()] == ["01/02/2003", "03/04/2005", "03/04/2005", "", ""]
     assert "filter" not in str(ex.date(F.col("l")))
+
+
+def test_a_summary_is_computed_once_and_white_space_is_that_of_unicode(spark):
+    assert str(tx.sentence_case(F.reverse("x"))).count("reverse") == 1
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in every], "c string")
+    assert df.where(F.col("c").rlike(f"^{tx.WHITE}$") != F.col("c").rlike(r"(?U)^[\s\x1c-\x1f]$")).count() == 0
+
+
+def test_lines_of_an_agency_are_judged_once(spark):
+    none = F.lit(None).cast("array<string>")
+    assert str(ex.agency(F.reverse("l"), none, none, F.lit(-1))).count("HEADER_RIGHT") == 1
+    lines = [["SỞ Y TẾ ĐẢNG BỘ tỉnh", "x"], ["ĐẢNG BỘ", "SỞ Y TẾ"], ["BỘ Y TẾ  CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM"], ["C Ộ N G HOA XÃ HỘI", "BỘ A"], ["x y"], []]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>")
+    assert [r.a for r in df.orderBy("k").select(ex.agency(F.col("l"), none, none, F.lit(-1)).alias("a")).collect()] == ["SỞ Y TẾ", "ĐẢNG BỘ SỞ Y TẾ", "BỘ Y TẾ", "BỘ A", "", ""]
+
+
+def test_the_signer_is_looked_for_from_the_last_line(spark):
+    lines = [["CHỦ TỊCH", "Lê Văn An", "GIÁM ĐỐC", "Trần Thị Bình", "x 1"], ["GIÁM ĐỐC", "Trần Thị Bình", "Nơi nhận:", "CHỦ TỊCH", "Lê Văn An"], ["nơi nhận", "CHỦ TỊCH", "Lê Văn An"], ["Lê Văn An"], []]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>")
+    assert [r.s for r in df.orderBy("k").select(ex.signer(F.col("l")).alias("s")).collect()] == ["Trần Thị Bình", "Trần Thị Bình", "Lê Văn An", "Lê Văn An", ""]
+    assert str(ex.signer(F.reverse("l"))).count("slice(reverse") <= 2
