@@ -77,3 +77,14 @@ def test_the_signer_is_looked_for_from_the_last_line(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, l array<string>")
     assert [r.s for r in df.orderBy("k").select(ex.signer(F.col("l")).alias("s")).collect()] == ["Trần Thị Bình", "Trần Thị Bình", "Lê Văn An", "Lê Văn An", ""]
     assert str(ex.signer(F.reverse("l"))).count("slice(reverse") <= 2
+
+
+def test_a_titles_own_line_is_split_once(spark):
+    assert str(ex.same_line_summary(F.reverse("x"))).count("reverse") == 1
+    lines = ["QUYẾT ĐỊNH Về việc thu phí", "BÁO CÁO: kết quả năm", "QUYẾT ĐỊNH", "Thông báo abc", "x", "", "QUYẾT Ab cde f"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, x string")
+    got = [r.s for r in df.orderBy("k").select(ex.same_line_summary(F.col("x")).alias("s")).collect()]
+    assert got == ["Về việc thu phí", "CÁO: kết quả năm", "", "", "", "", "Ab cde f"]
+    terms = [["nhiệm kỳ ٢٠١٥ - ٢٠٢٠"], ["nhiệm kỳ 2015", "Nhiem ky 2010 - 2015", "nhiệm kỳ 2020 - 2025"]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(terms)], "k int, l array<string>")
+    assert [r.s for r in df.orderBy("k").select(ex.tenure(F.col("l")).alias("s")).collect()] == ["٢٠١٥ - ٢٠٢٠", "2010 - 2015"]
