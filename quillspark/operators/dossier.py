@@ -84,7 +84,7 @@ def with_dossier_totals(records: DataFrame, path: str = "duong_dan_file") -> Dat
     rows = records.withColumn("_key", dossier_key(path))
     once = rows.groupBy("_key", path).agg(F.count("*").alias("n"), F.max("n_pages").alias("p"))
     totals = once.groupBy(F.col("_key").alias("_k")).agg(F.sum("n").alias("_docs"), F.sum(F.coalesce("p", F.lit(0))).alias("_pages"))
-    rows = running(rows, ["_key"], "input_ord", {"_before": F.lit(1)}).join(totals, F.col("_key") == F.col("_k"))
+    rows = running(rows, ["_key"], "input_ord", {"_before": F.lit(1)}).join(totals, F.col("_key") == F.col("_k"), "left")  # each key has totals; a plan that needs none drops the join
     late = F.regexp_extract(tx.parent_folder(F.col(path)), r"(?U)(20\d{2})\s*[-_/]\s*(20\d{2})", 1)
     until = F.regexp_extract(tx.parent_folder(F.col(path)), r"(?U)(20\d{2})\s*[-_/]\s*(20\d{2})", 2)
     text = lambda c: c.cast("long").cast("string")

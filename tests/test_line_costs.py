@@ -88,3 +88,12 @@ def test_a_titles_own_line_is_split_once(spark):
     terms = [["nhiệm kỳ ٢٠١٥ - ٢٠٢٠"], ["nhiệm kỳ 2015", "Nhiem ky 2010 - 2015", "nhiệm kỳ 2020 - 2025"]]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(terms)], "k int, l array<string>")
     assert [r.s for r in df.orderBy("k").select(ex.tenure(F.col("l")).alias("s")).collect()] == ["٢٠١٥ - ٢٠٢٠", "2010 - 2015"]
+
+
+def test_totals_nobody_asks_for_are_not_joined(spark):
+    from quillspark.operators import dossier as ds
+
+    rows = ds.with_path_facts(spark.createDataFrame([(0, "1/a.pdf", "", "", 1)], "input_ord long, duong_dan_file string, so_van_ban string, nhiem_ky string, n_pages int"))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    every = ds.with_dossier_totals(rows)
+    assert joins(every.select("input_ord", "n_pages")) < joins(every)
